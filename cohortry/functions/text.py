@@ -25,13 +25,13 @@ def clean_text(text: Column) -> Column:
 
 def clean_list(items: Column) -> Column:
     """Strip items, drop empty and null ones, keep the first of equals; a null list is empty."""
-    kept = F.filter(F.transform(items, strip), lambda item: F.coalesce(item != "", F.lit(False)))
+    kept = F.filter(F.transform(items, lambda item: strip(item)), lambda item: F.coalesce(item != "", F.lit(False)))
     return F.coalesce(F.array_distinct(kept), F.array().cast("array<string>"))
 
 
 def split_list(text: Column, separator: str = ";") -> Column:
     """Split collapsed text at a separator into non-empty, trimmed parts; null gives an empty list."""
-    parts = F.transform(F.split(clean_text(text), separator), F.trim)
+    parts = F.transform(F.split(clean_text(text), separator), lambda part: F.trim(part))
     return F.coalesce(F.filter(parts, lambda part: part != ""), F.array().cast("array<string>"))
 
 

@@ -68,7 +68,7 @@ def annotate(
     staged = (
         kept.withColumn("_cohort", cohorts.parse_cohort(F.col("batch").cast("string")))
         .withColumn("_entries", text.split_list(F.col("all_locations")))
-        .withColumn("_places", F.transform("_entries", places.parse_place))
+        .withColumn("_places", places.parse_places(F.col("_entries")))
         .withColumn("_primary", places.primary_place(F.col("_places")))
         .withColumn("_regions", text.clean_list(F.col("regions")))
         .withColumn("_status_in", text.title_case(text.clean_text(F.col("status"))))

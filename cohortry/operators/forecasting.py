@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortry.functions.records import bind, record
 from cohortry.functions.stats import LEVEL_Z, finite
 
 # Fixed value: points before the first backtest origin; extra points a series needs to be compared.
@@ -40,6 +41,7 @@ _PHI_COARSE = (-990, 990, 10)
 _PHI_FINE = (-9, 9, 1)
 
 _NONE = float("inf")
+_FITS = "array<struct<sse:double,level:double,swing:double,decay:double>>"
 
 
 def step_ahead(h: Column) -> Column:
@@ -98,7 +100,7 @@ def _arima_state() -> Column:
         gap = (F.lit(1.0) - phi) * mean
         sse = start + moves - gap * 2.0 * tail + gap * gap * (n - 1.0)
         cost = n * F.ln(sse / n) - F.ln(F.lit(1.0) - phi * phi)
-        return F.struct(cost.alias("cost"), thousandths.alias("i"), phi.alias("phi"), mean.alias("mean"))
+        return record(cost=cost, i=thousandths, phi=phi, mean=mean)
 
     def best(low: Column, high: Column, step: int) -> Column:
         return F.array_min(F.transform(F.sequence(low, high, F.lit(step)), at))
@@ -130,25 +132,16 @@ def _lists(series: DataFrame) -> DataFrame:
 
 def _ses_scan(weight: Column) -> Column:
     """Per point: the squared error so far and the level, for one weight."""
-    start = F.struct(
-        F.lit(0.0).alias("a"), F.lit(1.0).alias("v"),
-        F.lit(0.0).alias("uu"), F.lit(0.0).alias("uv"), F.lit(0.0).alias("vv"),
-        F.array().cast("array<struct<sse:double,level:double,swing:double,decay:double>>").alias("out"),
-    )
+    zero, one = F.lit(0.0), F.lit(1.0)
+    start = record(a=zero, v=one, uu=zero, uv=zero, vv=zero, out=F.array().cast(_FITS))
 
     def step(s: Column, point: Column) -> Column:
         u = point["y"] - s["a"]
         uu, uv, vv = s["uu"] + u * u, s["uv"] + u * s["v"], s["vv"] + s["v"] * s["v"]
         a, v = s["a"] + weight * u, s["v"] * (F.lit(1.0) - weight)
         begin = uv / vv
-        fit = F.struct(
-            (uu - uv * begin).alias("sse"), (a + v * begin).alias("level"),
-            F.lit(0.0).alias("swing"), F.lit(0.0).alias("decay"),
-        )
-        return F.struct(
-            a.alias("a"), v.alias("v"), uu.alias("uu"), uv.alias("uv"), vv.alias("vv"),
-            F.array_append(s["out"], fit).alias("out"),
-        )
+        fit = record(sse=uu - uv * begin, level=a + v * begin, swing=zero, decay=zero)
+        return record(a=a, v=v, uu=uu, uv=uv, vv=vv, out=F.array_append(s["out"], fit))
 
     return F.aggregate("_p", start, step, lambda s: s["out"])
 
@@ -157,27 +150,22 @@ def _holt_scan(level: Column, trend: Column, damping: Column) -> Column:
     """As above for the damped trend; l = a + p*l0 + q*b0 and b = c + r*l0 + s*b0."""
     names = ("a", "p", "q", "c", "r", "s", "uu", "pu", "qu", "pp", "pq", "qq")
     ones = ("p", "s")
-    start = F.struct(
-        *[F.lit(1.0 if n in ones else 0.0).alias(n) for n in names],
-        F.array().cast("array<struct<sse:double,level:double,swing:double,decay:double>>").alias("out"),
-    )
+    start = record(**{n: F.lit(1.0 if n in ones else 0.0) for n in names}, out=F.array().cast(_FITS))
     keep_level, keep_trend = F.lit(1.0) - level, (F.lit(1.0) - trend) * damping
 
     def predict(s: Column, point: Column) -> Column:
         fa, fp, fq = s["a"] + damping * s["c"], s["p"] + damping * s["r"], s["q"] + damping * s["s"]
-        return F.struct(fa.alias("fa"), fp.alias("fp"), fq.alias("fq"), (point["y"] - fa).alias("u"))
+        return record(fa=fa, fp=fp, fq=fq, u=point["y"] - fa)
 
     def update(s: Column, f: Column) -> Column:
         a, p, q = f["fa"] + level * f["u"], f["fp"] * keep_level, f["fq"] * keep_level
-        return F.struct(
-            a.alias("a"), p.alias("p"), q.alias("q"),
-            (trend * (a - s["a"]) + keep_trend * s["c"]).alias("c"),
-            (trend * (p - s["p"]) + keep_trend * s["r"]).alias("r"),
-            (trend * (q - s["q"]) + keep_trend * s["s"]).alias("s"),
-            (s["uu"] + f["u"] * f["u"]).alias("uu"),
-            (s["pu"] + f["fp"] * f["u"]).alias("pu"), (s["qu"] + f["fq"] * f["u"]).alias("qu"),
-            (s["pp"] + f["fp"] * f["fp"]).alias("pp"), (s["pq"] + f["fp"] * f["fq"]).alias("pq"),
-            (s["qq"] + f["fq"] * f["fq"]).alias("qq"),
+        return record(
+            a=a, p=p, q=q,
+            c=trend * (a - s["a"]) + keep_trend * s["c"],
+            r=trend * (p - s["p"]) + keep_trend * s["r"],
+            s=trend * (q - s["q"]) + keep_trend * s["s"],
+            uu=s["uu"] + f["u"] * f["u"], pu=s["pu"] + f["fp"] * f["u"], qu=s["qu"] + f["fq"] * f["u"],
+            pp=s["pp"] + f["fp"] * f["fp"], pq=s["pq"] + f["fp"] * f["fq"], qq=s["qq"] + f["fq"] * f["fq"],
         )
 
     def solve(s: Column) -> Column:
@@ -185,22 +173,18 @@ def _holt_scan(level: Column, trend: Column, damping: Column) -> Column:
         usable = det > F.lit(1e-9) * s["pp"] * s["qq"]
         l0 = F.when(usable, (s["pu"] * s["qq"] - s["qu"] * s["pq"]) / det)
         b0 = F.when(usable, (s["qu"] * s["pp"] - s["pu"] * s["pq"]) / det)
-        return F.struct(l0.alias("l"), b0.alias("b"))
-
-    def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-        # Evaluate a value once and use it by name.
-        return F.transform(F.array(value), body)[0]
+        return record(l=l0, b=b0)
 
     def step(s: Column, point: Column) -> Column:
         def with_state(nxt: Column) -> Column:
             def with_start(z: Column) -> Column:
-                fit = F.struct(
-                    (nxt["uu"] - z["l"] * nxt["pu"] - z["b"] * nxt["qu"]).alias("sse"),
-                    (nxt["a"] + nxt["p"] * z["l"] + nxt["q"] * z["b"]).alias("level"),
-                    (nxt["c"] + nxt["r"] * z["l"] + nxt["s"] * z["b"]).alias("swing"),
-                    damping.alias("decay"),
+                fit = record(
+                    sse=nxt["uu"] - z["l"] * nxt["pu"] - z["b"] * nxt["qu"],
+                    level=nxt["a"] + nxt["p"] * z["l"] + nxt["q"] * z["b"],
+                    swing=nxt["c"] + nxt["r"] * z["l"] + nxt["s"] * z["b"],
+                    decay=damping,
                 )
-                return F.struct(*[nxt[n].alias(n) for n in names], F.array_append(s["out"], fit).alias("out"))
+                return record(**{n: nxt[n] for n in names}, out=F.array_append(s["out"], fit))
 
             return bind(solve(nxt), with_start)
 
@@ -247,8 +231,7 @@ def _holt_fits(
 
     def scan(level: Column) -> Column:
         none = F.lit(None).cast("double")
-        worst = F.transform("_p", lambda _: F.struct(
-            F.lit(_NONE).alias("sse"), none.alias("level"), none.alias("swing"), none.alias("decay")))
+        worst = F.transform("_p", lambda _: record(sse=F.lit(_NONE), level=none, swing=none, decay=none))
         return F.aggregate(pairs, worst, lambda found, g: _better(found, _holt_scan(level, g["b"], g["d"])))
 
     return _scan_fits(series, "holt_damped", levels, scan)

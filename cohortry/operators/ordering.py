@@ -45,12 +45,8 @@ def with_bucket(df: DataFrame, key: Column, bits: int = BITS) -> DataFrame:
             F.try_element_at(F.col("_cuts"), at + step) < F.col("_key"), at + step
         ).otherwise(at),
     )
-    return (
-        df.withColumn("_key", key)
-        .withColumn("_cuts", cuts)
-        .withColumn("_bucket", position)
-        .drop("_cuts")
-    )
+    keyed = df.select("*", key.alias("_key"), cuts.alias("_cuts"))
+    return keyed.select(*df.columns, "_key", position.alias("_bucket"))
 
 
 def running_totals(
@@ -62,9 +58,8 @@ def running_totals(
     key travels as many rows.
     """
     by = list(by)
-    parts = with_bucket(df, key, bits)
-    for name, value in sums.items():
-        parts = parts.withColumn(f"_v_{name}", value)
+    valued = df.select("*", *[value.alias(f"_v_{name}") for name, value in sums.items()])
+    parts = with_bucket(valued, key, bits)
     totals = parts.groupBy(*by, "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

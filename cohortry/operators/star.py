@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.functions.places import parse_place, primary_place
+from cohortry.functions.places import first_physical, parse_place
 from cohortry.operators.audit import TableRules
 from cohortry.operators.ordering import dense_number
 
@@ -58,7 +58,7 @@ def _distinct_entries() -> Column:
 
 
 def _first_physical() -> Column:
-    return primary_place(F.transform("location_entries", parse_place))["place_raw"]
+    return first_physical(F.col("location_entries"))
 
 
 def batches(features: DataFrame) -> DataFrame:

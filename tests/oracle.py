@@ -64,7 +64,8 @@ def main() -> None:
     from cohortry.session import build_session
 
     sf_dir = f"/root/testdata/{sys.argv[1]}"
-    spark = build_session("local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g")
+    spark = build_session("local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g",
+                          spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     sqls = entry.oracle_sql()

@@ -259,8 +259,15 @@ def shared_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _star_table(name: str):
+    """One table of the star schema; features are written first, as they feed several tables."""
+
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return star.build_tables(_features(spark, sf))[name]
+        features = stage(_features(spark, sf), "features")
+        if name == "companies":
+            return star.companies(features, star.batches(features), star.industries(features), star.locations(features))
+        if name == "company_locations":
+            return star.company_locations(features, star.locations(features))
+        return getattr(star, name)(features)
 
     return query
 
@@ -280,7 +287,7 @@ def constraint_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def primary_counts(spark: SparkSession, sf: str) -> DataFrame:
-    features = _features(spark, sf)
+    features = stage(_features(spark, sf), "features")
     return audit.primary_counts(star.company_locations(features, star.locations(features)))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +10,3 @@ def record(**fields: Column) -> Column:
     """A struct whose field names are known before the surrounding expression is resolved."""
     return F.named_struct(*[part for name, value in fields.items() for part in (F.lit(name), value)])
 
-
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` applied to a value that is evaluated once, however often the body uses it."""
-    return F.transform(F.array(value), lambda bound: body(bound))[0]

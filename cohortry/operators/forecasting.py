@@ -9,11 +9,12 @@ has the same four numbers, and its forecast ``h`` steps ahead is
 so backtests (each ``k``, one step) and forecasts (last ``k``, many steps)
 share one table of fits.  Fits at ``k`` use the first ``k`` points only.
 
-Naive, moving average and ARIMA need running sums: one window over the series.
-Exponential smoothing is a fold over the series.  For given smoothing weights
-the errors are linear in the start values, so the fold carries the normal
-equations and the best start values follow in closed form at every ``k``; one
-fold per weight serves all origins.  The weights come from a grid.
+Naive and moving average are one window over the series.  The others estimate
+parameters.  For given smoothing weights the errors are linear in the start
+values, so one pass that carries the normal equations yields the best start
+values at every ``k``; the weights come from a grid.  The autoregressive model
+needs running sums of the differences only.  So one pass over a series serves
+all its origins.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.functions.records import bind, record
 from cohortry.functions.stats import LEVEL_Z, finite
 
 # Fixed value: points before the first backtest origin; extra points a series needs to be compared.
@@ -37,11 +37,10 @@ HOLT_LEVEL = tuple(i / 10 for i in range(1, 11))
 HOLT_TREND = (0.0, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0)
 HOLT_DAMPING = (0.8, 0.85, 0.9, 0.95, 0.995)
 # Coarse and fine search for the autoregressive weight, in thousandths.
-_PHI_COARSE = (-990, 990, 10)
-_PHI_FINE = (-9, 9, 1)
+_PHI_COARSE = np.arange(-990, 991, 10)
+_PHI_FINE = np.arange(-9, 10)
 
 _NONE = float("inf")
-_FITS = "array<struct<sse:double,level:double,swing:double,decay:double>>"
 
 
 def step_ahead(h: Column) -> Column:
@@ -61,196 +60,168 @@ def _state(level: Column, drift: Column | None = None, swing: Column | None = No
 
 
 # ---------------------------------------------------------------- window models
-def _running(series: DataFrame) -> DataFrame:
+def _window_fits(series: DataFrame) -> DataFrame:
+    """Last value and mean of the last three, by one window over each series."""
     by_time = Window.partitionBy("series").orderBy("t")
-    upto = by_time.rowsBetween(Window.unboundedPreceding, 0)
-    moved = series.select(
+    rows = series.select(
         "series", "t", "y",
         F.row_number().over(by_time).alias("k"),
         F.lead("t").over(by_time).alias("next_t"),
         F.lead("y").over(by_time).alias("next_y"),
         F.avg("y").over(by_time.rowsBetween(-2, 0)).alias("_ma3"),
-        (F.col("y") - F.lag("y").over(by_time)).alias("_w"),
-    ).withColumn("_w_prev", F.lag("_w").over(by_time))
-    return moved.withColumns({
-        "_n": F.count("_w").over(upto),
-        "_first": F.first("_w", ignorenulls=True).over(upto),
-        "_sum": F.sum("_w").over(upto),
-        "_square": F.sum(F.col("_w") * F.col("_w")).over(upto),
-        "_cross": F.sum(F.col("_w") * F.col("_w_prev")).over(upto),
-    })
-
-
-def _arima_state() -> Column:
-    """Exact Gaussian likelihood of an AR(1) with mean on the differences, by running sums.
-
-    For a given weight the best mean has a closed form, and so has the
-    likelihood; the weight is searched on a coarse and then a fine grid.  Null
-    with fewer than four differences or when all differences are equal.
-    """
-    n, first, last = F.col("_n").cast("double"), F.col("_first"), F.col("_w")
-    total, square, cross = F.col("_sum"), F.col("_square"), F.col("_cross")
-
-    def at(thousandths: Column) -> Column:
-        phi = thousandths / F.lit(1000.0)
-        tail = (total - first) - phi * (total - last)
-        mean = ((phi + 1.0) * first + tail) / ((phi + 1.0) + (n - 1.0) * (F.lit(1.0) - phi))
-        start = (F.lit(1.0) - phi * phi) * (first - mean) * (first - mean)
-        moves = (square - first * first) - phi * 2.0 * cross + phi * phi * (square - last * last)
-        gap = (F.lit(1.0) - phi) * mean
-        sse = start + moves - gap * 2.0 * tail + gap * gap * (n - 1.0)
-        cost = n * F.ln(sse / n) - F.ln(F.lit(1.0) - phi * phi)
-        return record(cost=cost, i=thousandths, phi=phi, mean=mean)
-
-    def best(low: Column, high: Column, step: int) -> Column:
-        return F.array_min(F.transform(F.sequence(low, high, F.lit(step)), at))
-
-    coarse = best(F.lit(_PHI_COARSE[0]), F.lit(_PHI_COARSE[1]), _PHI_COARSE[2])["i"]
-    fine = best(coarse + _PHI_FINE[0], coarse + _PHI_FINE[1], _PHI_FINE[2])
-    varies = n * square - total * total > F.lit(1e-9) * n * square
-    return F.when((n >= 4) & varies, fine)
-
-
-def _window_fits(series: DataFrame) -> DataFrame:
-    rows = _running(series).withColumn("_ar", _arima_state())
-    y, last, mean = F.col("y"), F.col("_w"), F.col("_ar.mean")
-    states = F.array(
-        F.struct(F.lit("naive").alias("model"), _state(y).alias("s")),
-        F.struct(F.lit("moving_avg_3").alias("model"), _state(F.col("_ma3")).alias("s")),
-        F.struct(F.lit("arima_110").alias("model"), _state(y, mean, last - mean, F.col("_ar.phi")).alias("s")),
     )
-    return rows.select("series", "k", "t", "next_t", "next_y", F.inline(states)).select(
-        "series", "model", "k", "t", "next_t", "next_y", "s.*"
+    zero = F.lit(0.0)
+    models = F.array(*[
+        F.struct(F.lit(name).alias("model"), value.cast("double").alias("level"))
+        for name, value in (("naive", F.col("y")), ("moving_avg_3", F.col("_ma3")))
+    ])
+    return rows.select("series", "k", "t", "next_t", "next_y", F.inline(models)).select(
+        "series", "model", "k", "t", "next_t", "next_y", "level",
+        zero.alias("drift"), zero.alias("swing"), zero.alias("decay"),
     )
 
 
-# ---------------------------------------------------------------- smoothing models
-def _lists(series: DataFrame) -> DataFrame:
-    """One row per series with its points in order; a series has one point per period."""
-    return series.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("t", "y"))).alias("_p"))
-
-
-def _ses_scan(weight: Column) -> Column:
-    """Per point: the squared error so far and the level, for one weight."""
-    zero, one = F.lit(0.0), F.lit(1.0)
-    start = record(a=zero, v=one, uu=zero, uv=zero, vv=zero, out=F.array().cast(_FITS))
-
-    def step(s: Column, point: Column) -> Column:
-        u = point["y"] - s["a"]
-        uu, uv, vv = s["uu"] + u * u, s["uv"] + u * s["v"], s["vv"] + s["v"] * s["v"]
-        a, v = s["a"] + weight * u, s["v"] * (F.lit(1.0) - weight)
-        begin = uv / vv
-        fit = record(sse=uu - uv * begin, level=a + v * begin, swing=zero, decay=zero)
-        return record(a=a, v=v, uu=uu, uv=uv, vv=vv, out=F.array_append(s["out"], fit))
-
-    return F.aggregate("_p", start, step, lambda s: s["out"])
-
-
-def _holt_scan(level: Column, trend: Column, damping: Column) -> Column:
-    """As above for the damped trend; l = a + p*l0 + q*b0 and b = c + r*l0 + s*b0."""
-    names = ("a", "p", "q", "c", "r", "s", "uu", "pu", "qu", "pp", "pq", "qq")
-    ones = ("p", "s")
-    start = record(**{n: F.lit(1.0 if n in ones else 0.0) for n in names}, out=F.array().cast(_FITS))
-    keep_level, keep_trend = F.lit(1.0) - level, (F.lit(1.0) - trend) * damping
-
-    def predict(s: Column, point: Column) -> Column:
-        fa, fp, fq = s["a"] + damping * s["c"], s["p"] + damping * s["r"], s["q"] + damping * s["s"]
-        return record(fa=fa, fp=fp, fq=fq, u=point["y"] - fa)
-
-    def update(s: Column, f: Column) -> Column:
-        a, p, q = f["fa"] + level * f["u"], f["fp"] * keep_level, f["fq"] * keep_level
-        return record(
-            a=a, p=p, q=q,
-            c=trend * (a - s["a"]) + keep_trend * s["c"],
-            r=trend * (p - s["p"]) + keep_trend * s["r"],
-            s=trend * (q - s["q"]) + keep_trend * s["s"],
-            uu=s["uu"] + f["u"] * f["u"], pu=s["pu"] + f["fp"] * f["u"], qu=s["qu"] + f["fq"] * f["u"],
-            pp=s["pp"] + f["fp"] * f["fp"], pq=s["pq"] + f["fp"] * f["fq"], qq=s["qq"] + f["fq"] * f["fq"],
-        )
-
-    def solve(s: Column) -> Column:
-        det = s["pp"] * s["qq"] - s["pq"] * s["pq"]
-        usable = det > F.lit(1e-9) * s["pp"] * s["qq"]
-        l0 = F.when(usable, (s["pu"] * s["qq"] - s["qu"] * s["pq"]) / det)
-        b0 = F.when(usable, (s["qu"] * s["pp"] - s["pu"] * s["pq"]) / det)
-        return record(l=l0, b=b0)
-
-    def step(s: Column, point: Column) -> Column:
-        def with_state(nxt: Column) -> Column:
-            def with_start(z: Column) -> Column:
-                fit = record(
-                    sse=nxt["uu"] - z["l"] * nxt["pu"] - z["b"] * nxt["qu"],
-                    level=nxt["a"] + nxt["p"] * z["l"] + nxt["q"] * z["b"],
-                    swing=nxt["c"] + nxt["r"] * z["l"] + nxt["s"] * z["b"],
-                    decay=damping,
-                )
-                return record(**{n: nxt[n] for n in names}, out=F.array_append(s["out"], fit))
-
-            return bind(solve(nxt), with_start)
-
-        return bind(bind(predict(s, point), lambda f: update(s, f)), with_state)
-
-    return F.aggregate("_p", start, step, lambda s: s["out"])
-
-
-def _better(left: Column, right: Column) -> Column:
-    return F.zip_with(left, right, lambda a, b: F.when(b["sse"] < a["sse"], b).otherwise(a))
-
-
-def _scan_fits(series: DataFrame, model: str, weights: Sequence[float], scan: Callable[[Column], Column]) -> DataFrame:
-    """Run a scan per (series, weight) row and keep the best weight at every ``k``."""
-    grid = F.array(*[F.lit(float(w)) for w in weights])
-    rows = _lists(series).withColumn("_w", F.explode(grid))
-    # The work is in the scan, so its rows are spread over all tasks first.
-    rows = rows.repartition("series", "_w").withColumn("_scan", scan(F.col("_w")))
-    points = rows.select("series", "_p", F.posexplode("_scan").alias("_i", "_s"), "_w")
-    best = points.groupBy("series", "_i").agg(
-        F.min(F.when(F.col("_s.sse").isNotNull(), F.struct("_s.sse", "_w", "_s.level", "_s.swing", "_s.decay"))).alias("_b")
-    )
-    at = _lists(series).select("series", F.posexplode("_p").alias("_i", "_now"), "_p")
-    following = F.try_element_at("_p", F.col("_i") + 2)
-    placed = at.select("series", "_i", F.col("_now.t").alias("t"), following["t"].alias("next_t"), following["y"].alias("next_y"))
-    return placed.join(best, ["series", "_i"]).select(
-        "series", F.lit(model).alias("model"), (F.col("_i") + 1).alias("k"), "t", "next_t", "next_y",
-        F.col("_b.level").alias("level"), F.lit(0.0).alias("drift"),
-        F.col("_b.swing").alias("swing"), F.col("_b.decay").alias("decay"),
-    )
-
+# ---------------------------------------------------------------- estimated models
+# Each returns, per prefix of y, (level, drift, swing, decay); NaN where there is no fit.
+_NO_FIT = (np.nan, np.nan, np.nan, np.nan)
 
-def _ses_fits(series: DataFrame, weights: Sequence[float] = SES_WEIGHTS) -> DataFrame:
-    return _scan_fits(series, "exp_smoothing", weights, _ses_scan)
 
+def _arima_states(y: np.ndarray) -> list[tuple]:
+    """AR(1) with a mean on the differences, by exact Gaussian likelihood.
 
-def _holt_fits(
-    series: DataFrame, levels: Sequence[float] = HOLT_LEVEL, trends: Sequence[float] = HOLT_TREND,
-    dampings: Sequence[float] = HOLT_DAMPING,
+    Running sums of the differences are all it needs.  For a given weight the
+    best mean and the likelihood have closed forms; the weight is searched on a
+    coarse and then a fine grid.  No fit with fewer than four differences or
+    when all of them are equal.
+    """
+    w = np.diff(y)
+    total, square = np.cumsum(w), np.cumsum(w * w)
+    cross = np.append([0.0], np.cumsum(w[1:] * w[:-1]))
+    out = [_NO_FIT] * len(y)
+
+    def search(i: int, thousandths: np.ndarray) -> tuple[int, float, float]:
+        phi, n, first, last = thousandths / 1000, i + 1, w[0], w[i]
+        tail = (total[i] - first) - phi * (total[i] - last)
+        mean = ((phi + 1) * first + tail) / ((phi + 1) + (n - 1) * (1 - phi))
+        start = (1 - phi * phi) * (first - mean) * (first - mean)
+        moves = (square[i] - first * first) - phi * 2 * cross[i] + phi * phi * (square[i] - last * last)
+        gap = (1 - phi) * mean
+        cost = n * np.log((start + moves - gap * 2 * tail + gap * gap * (n - 1)) / n) - np.log(1 - phi * phi)
+        best = np.nanargmin(cost)
+        return thousandths[best], phi[best], mean[best]
+
+    for i in range(3, len(w)):
+        if (i + 1) * square[i] - total[i] * total[i] > 1e-9 * (i + 1) * square[i]:
+            near, _, _ = search(i, _PHI_COARSE)
+            _, phi, mean = search(i, near + _PHI_FINE)
+            out[i + 1] = (y[i + 1], mean, w[i] - mean, phi)
+    return out
+
+
+def _best_start(pp, pq, qq, pu, qu):
+    """Least-squares start values from the normal equations, NaN where they are singular."""
+    det = pp * qq - pq * pq
+    det = np.where(det > 1e-9 * pp * qq, det, np.nan)
+    return (pu * qq - qu * pq) / det, (qu * pp - pu * pq) / det
+
+
+def _ses_states(y: np.ndarray, weights: np.ndarray) -> list[tuple]:
+    """Simple smoothing with the weight of least squared error."""
+    a, v = np.zeros_like(weights), np.ones_like(weights)
+    uu = uv = vv = 0.0
+    out = []
+    for value in y:
+        u = value - a
+        uu, uv, vv = uu + u * u, uv + u * v, vv + v * v
+        a, v = a + weights * u, v * (1 - weights)
+        start = uv / vv
+        best = np.argmin(uu - uv * start)
+        out.append((a[best] + v[best] * start[best], 0.0, 0.0, 0.0))
+    return out
+
+
+def _holt_states(y: np.ndarray, grid: np.ndarray) -> list[tuple]:
+    """Damped trend with the weights of least squared error: l = a + p*l0 + q*b0 and b = c + r*l0 + s*b0."""
+    level, trend, damping = grid
+    keep = (1 - trend) * damping
+    zero, one = np.zeros_like(level), np.ones_like(level)
+    a, p, q, c, r, s = zero, one, zero, zero, zero, one
+    uu = pu = qu = pp = pq = qq = zero
+    out = []
+    for value in y:
+        fa, fp, fq = a + damping * c, p + damping * r, q + damping * s
+        u = value - fa
+        uu, pu, qu = uu + u * u, pu + fp * u, qu + fq * u
+        pp, pq, qq = pp + fp * fp, pq + fp * fq, qq + fq * fq
+        a1, p1, q1 = fa + level * u, fp * (1 - level), fq * (1 - level)
+        c, r, s = trend * (a1 - a) + keep * c, trend * (p1 - p) + keep * r, trend * (q1 - q) + keep * s
+        a, p, q = a1, p1, q1
+        l0, b0 = _best_start(pp, pq, qq, pu, qu)
+        error = uu - l0 * pu - b0 * qu
+        if np.isnan(error).all():
+            out.append(_NO_FIT)
+            continue
+        i = np.nanargmin(error)
+        out.append((a[i] + p[i] * l0[i] + q[i] * b0[i], 0.0, c[i] + r[i] * l0[i] + s[i] * b0[i], damping[i]))
+    return out
+
+
+def _estimated_fits(
+    series: DataFrame, models: Sequence[str], ses: Sequence[float] = SES_WEIGHTS, levels: Sequence[float] = HOLT_LEVEL,
+    trends: Sequence[float] = HOLT_TREND, dampings: Sequence[float] = HOLT_DAMPING,
 ) -> DataFrame:
-    pairs = F.array(*[
-        F.struct(F.lit(float(b)).alias("b"), F.lit(float(d)).alias("d")) for b in trends for d in dampings
-    ])
+    """The models with estimated parameters.
+
+    A recursion over time with a parameter search has no built-in operator, so
+    each series goes to one call that searches its grid as a vector.  A series
+    has one point per period, and series spread over all tasks.
+    """
+    t_type = series.schema["t"].dataType.simpleString()
+    numbers = "level double, drift double, swing double, decay double"
+    out = f"series string, model string, k int, t {t_type}, next_t {t_type}, next_y double, {numbers}"
+    weights = np.asarray(ses, float)
+    grid = np.array([(a, b, d) for a in levels for b in trends for d in dampings], float).T
+    fit = {
+        "arima_110": _arima_states,
+        "exp_smoothing": lambda y: _ses_states(y, weights),
+        "holt_damped": lambda y: _holt_states(y, grid),
+    }
 
-    def scan(level: Column) -> Column:
-        none = F.lit(None).cast("double")
-        worst = F.transform("_p", lambda _: record(sse=F.lit(_NONE), level=none, swing=none, decay=none))
-        return F.aggregate(pairs, worst, lambda found, g: _better(found, _holt_scan(level, g["b"], g["d"])))
+    def run(points: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values("t")
+        y = points["y"].to_numpy(float)
+        t = points["t"].tolist()
+        frame = {
+            "series": points["series"].iloc[0], "k": np.arange(1, len(y) + 1), "t": t,
+            "next_t": pd.array([*t[1:], None], dtype="Int64"), "next_y": np.append(y[1:], np.nan),
+        }
+        parts = []
+        for model in models:
+            found = pd.DataFrame(fit[model](y), columns=["level", "drift", "swing", "decay"], dtype=float)
+            parts.append(pd.DataFrame({**frame, "model": model}).join(found))
+        return pd.concat(parts)[["series", "model", "k", "t", "next_t", "next_y", "level", "drift", "swing", "decay"]]
 
-    return _scan_fits(series, "holt_damped", levels, scan)
+    fitted = series.select("series", "t", "y").groupBy("series").applyInPandas(run, out)
+    names = ["next_y", "level", "drift", "swing", "decay"]
+    return fitted.withColumns({n: F.nanvl(n, F.lit(None).cast("double")) for n in names})
 
 
-# Model name to the function that fits it to every prefix of every series.
-MODELS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "naive": _window_fits, "moving_avg_3": _window_fits, "arima_110": _window_fits,
-    "exp_smoothing": _ses_fits, "holt_damped": _holt_fits,
-}
+_WINDOW_MODELS = ("naive", "moving_avg_3")
+MODELS = (*_WINDOW_MODELS, "exp_smoothing", "holt_damped", "arima_110")
 
 
-def fits(series: DataFrame, models: Sequence[str] = tuple(MODELS)) -> DataFrame:
+def fits(series: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
     """Rows (series, model, k, t, next_t, next_y, level, drift, swing, decay)."""
-    out = None
-    for fit in dict.fromkeys(MODELS[m] for m in models):
-        part = fit(series)
-        out = part if out is None else out.unionByName(part)
-    return out.filter(F.col("model").isin(*models))
+    unknown = set(models) - set(MODELS)
+    if unknown:
+        raise ValueError(f"unknown models {sorted(unknown)}")
+    estimated = [m for m in models if m not in _WINDOW_MODELS]
+    parts = []
+    if len(estimated) < len(models):
+        parts.append(_window_fits(series).filter(F.col("model").isin(*models)))
+    if estimated:
+        parts.append(_estimated_fits(series, estimated))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 # ---------------------------------------------------------------- evaluation
@@ -290,7 +261,7 @@ def compare(predictions: DataFrame) -> DataFrame:
     return error_metrics(predictions).withColumn("rmse_vs_naive", F.try_divide(F.col("rmse"), naive))
 
 
-def compare_models(series: DataFrame, min_train: int = MIN_TRAIN, models: Sequence[str] = tuple(MODELS)) -> DataFrame:
+def compare_models(series: DataFrame, min_train: int = MIN_TRAIN, models: Sequence[str] = MODELS) -> DataFrame:
     """Backtest and compare on the series that are long enough; the rest come from ``long_enough``."""
     usable, _ = long_enough(series, min_train)
     return compare(backtest(fits(usable, models), min_train))

@@ -51,12 +51,14 @@ def read_record_text(spark: SparkSession, path: str, lines: bool = False) -> Dat
     return whole.select(F.explode(F.from_json("value", "array<string>")).alias("value"))
 
 
-def require_records(records: DataFrame) -> None:
-    """Raise when there are no records or any could not be read (runs two short jobs)."""
-    if records.isEmpty():
+def require_records(records: DataFrame, key: str = "id") -> None:
+    """Raise when there are no records, or some that are no JSON objects (runs one job of one row)."""
+    broken = F.col("_corrupt").isNotNull() & F.col(key).isNull()
+    found = records.agg(F.count("*").alias("n"), F.count_if(broken).alias("broken")).first()
+    if not found["n"]:
         raise ValueError("the source holds no records")
-    if "_corrupt" in records.columns and not records.filter(F.col("_corrupt").isNotNull()).isEmpty():
-        raise ValueError("the source holds records that are no JSON objects")
+    if found["broken"]:
+        raise ValueError(f"the source holds {found['broken']} records that are no JSON objects")
 
 
 # ---------------------------------------------------------------- tables

@@ -7,6 +7,10 @@ hashes, which is a uniform and repeatable sample of the keys, so every bucket
 holds about the same share whatever the distribution.  Bucket totals (at most
 ``2 ** bits`` rows per group) give each bucket its starting value; a window per
 bucket does the rest.  Results are exact: the sample only balances the work.
+
+The grouped rows are written to the shared folder first, because cut points,
+totals and rows would each scan the source again otherwise.  The written table
+is counted, and one of at most ``SMALL`` rows takes a plain window instead.
 """
 
 from __future__ import annotations
@@ -16,7 +20,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortry.session import stage
+
 BITS = 6
+# Up to this many rows, one task orders them without harm.
+SMALL = 200_000
 _SAMPLES_PER_BUCKET = 16
 
 
@@ -50,15 +58,20 @@ def with_bucket(df: DataFrame, key: Column, bits: int = BITS) -> DataFrame:
 
 
 def running_totals(
-    df: DataFrame, key: Column, sums: Mapping[str, Column], by: Sequence[str] = (), bits: int = BITS
+    df: DataFrame, key: Column, sums: Mapping[str, Column], by: Sequence[str] = (), bits: int = BITS, small: int = SMALL
 ) -> DataFrame:
-    """Add inclusive running totals in key order, per group where ``by`` is given.
+    """Add inclusive running totals in key order, per group where ``by`` is given (runs a job).
 
     ``df`` must hold one row per (group, key): aggregate first, so that no hot
     key travels as many rows.
     """
     by = list(by)
-    valued = df.select("*", *[value.alias(f"_v_{name}") for name, value in sums.items()])
+    held = stage(df, "totals")
+    upto = Window.unboundedPreceding, 0
+    if held.count() <= small:
+        whole = Window.partitionBy(*by).orderBy(key).rowsBetween(*upto)
+        return held.select("*", *[F.sum(value).over(whole).alias(name) for name, value in sums.items()])
+    valued = held.select("*", *[value.alias(f"_v_{name}") for name, value in sums.items()])
     parts = with_bucket(valued, key, bits)
     totals = parts.groupBy(*by, "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,66 +80,70 @@ def running_totals(
         F.col("_bucket").alias("_b"),
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
     )
-    same = F.col("_bucket") == F.col("_b")
-    for b in by:
-        same = same & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
     # Without groups the offsets are at most 2**bits rows: a proven bound.
-    joined = parts.join(offsets if by else F.broadcast(offsets), same)
-    within = Window.partitionBy(*by, "_bucket").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
+    joined = parts.join(offsets if by else F.broadcast(offsets), _same_bucket(by))
+    within = Window.partitionBy(*by, "_bucket").orderBy("_key").rowsBetween(*upto)
     return joined.select(
         *df.columns,
         *[(F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(within)).alias(n) for n in sums],
     )
 
 
-def dense_number(df: DataFrame, key: Column, name: str) -> DataFrame:
-    """Number rows 1..n in the order of a unique key, as a BIGINT column in front."""
-    numbered = running_totals(df, key, {name: F.lit(1).cast("long")})
+def _same_bucket(by: Sequence[str]) -> Column:
+    same = F.col("_bucket") == F.col("_b")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
+    return same
+
+
+def dense_number(df: DataFrame, key: Column, name: str, small: int = SMALL) -> DataFrame:
+    """Number rows 1..n in the order of a unique key, as a BIGINT column in front (runs a job)."""
+    numbered = running_totals(df, key, {name: F.lit(1).cast("long")}, small=small)
     return numbered.select(name, *df.columns)
 
 
 def exact_quantiles(
-    df: DataFrame, value: Column, probs: Mapping[str, float], by: Sequence[str] = (), bits: int = BITS
+    df: DataFrame, value: Column, probs: Mapping[str, float], by: Sequence[str] = (), bits: int = BITS, small: int = SMALL
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles per group, one row per group with known values.
+    """Exact, linearly interpolated quantiles per group, one row per group with known values (runs a job).
 
-    Equal values are counted before anything moves.  Only the buckets that
-    hold a wanted rank are sorted.
+    Equal values are counted before anything moves.  Beyond the small case,
+    only the buckets that hold a wanted rank are sorted.
     """
     by = list(by)
-    counted = (
+    counted = stage(
         df.select(*by, F.nanvl(value.cast("double"), F.lit(None).cast("double")).alias("_v"))
         .filter(F.col("_v").isNotNull())
         .groupBy(*by, "_v")
-        .agg(F.count("*").alias("_n"))
-    )
-    parts = with_bucket(counted, F.col("_v"), bits).drop("_key")
-    group = Window.partitionBy(*by)
-    earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        parts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_in"))
-        .withColumn("_before", F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
-        .withColumn("_all", F.sum("_in").over(group))
+        .agg(F.count("*").alias("_n")),
+        "values",
     )
 
     def ranks(p: float) -> tuple[Column, Column]:
         at = (F.col("_all") - 1) * F.lit(float(p))
         return F.floor(at), F.ceil(at)
 
-    wanted = F.lit(False)
-    for p in probs.values():
-        for rank in ranks(p):
-            wanted = wanted | ((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_in")))
-    totals = totals.filter(wanted).select(
-        *[F.col(b).alias(f"_b_{b}") for b in by], F.col("_bucket").alias("_b"), "_before", "_all"
-    )
-    same = F.col("_bucket") == F.col("_b")
-    for b in by:
-        same = same & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
-    # Without groups at most two buckets per quantile are left: a proven bound.
-    hit = parts.join(totals if by else F.broadcast(totals), same)
-    within = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = hit.withColumn("_upto", F.col("_before") + F.sum("_n").over(within))
+    group = Window.partitionBy(*by)
+    if counted.count() <= small:
+        upto = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        placed = counted.select("*", F.sum("_n").over(group).alias("_all"), F.sum("_n").over(upto).alias("_upto"))
+    else:
+        parts = with_bucket(counted, F.col("_v"), bits).drop("_key")
+        earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        totals = parts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_in")).select(
+            "*", F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"), F.sum("_in").over(group).alias("_all")
+        )
+        wanted = F.lit(False)
+        for p in probs.values():
+            for rank in ranks(p):
+                wanted = wanted | ((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_in")))
+        totals = totals.filter(wanted).select(
+            *[F.col(b).alias(f"_b_{b}") for b in by], F.col("_bucket").alias("_b"), "_before", "_all"
+        )
+        # Without groups at most two buckets per quantile are left: a proven bound.
+        hit = parts.join(totals if by else F.broadcast(totals), _same_bucket(by))
+        within = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        placed = hit.withColumn("_upto", F.col("_before") + F.sum("_n").over(within))
 
     def at_rank(rank: Column) -> Column:
         covers = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
@@ -143,4 +160,5 @@ def exact_quantiles(
         share = share - F.floor(share)
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((low + (high - low) * share).alias(name))
+    # Without groups and without values there is still one row, of nulls.
     return picked.select(*by, *out)

@@ -234,9 +234,9 @@ def keyword_flags(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     in_text = flags.text_matches(F.col("text"), F.lit(None).cast("string"))
     in_tags = flags.any_tag_matches(F.split("text", "\n"))
-    return docs.groupBy("lang").agg(
-        F.count_if(in_text).alias("worded"), F.count_if(in_tags).alias("tagged"),
-        F.count_if(in_text | in_tags).alias("either"),
+    return docs.select("lang", in_text.alias("w"), in_tags.alias("t")).groupBy("lang").agg(
+        F.count_if("w").alias("worded"), F.count_if("t").alias("tagged"),
+        F.count_if(F.col("w") | F.col("t")).alias("either"),
     )
 
 

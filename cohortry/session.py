@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,9 +60,38 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back (runs a job).
 
     Used where one result feeds many jobs.  The copy survives the loss of
-    executors and cuts the lineage.
+    executors and cuts the lineage.  ``unstage`` removes it.
     """
     spark = df.sparkSession
     path = staging_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.staged_path = path
+    return back
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete the files behind staged frames that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python tasks can import it from any folder."""
+    context = spark.sparkContext
+    if getattr(context, "cohortry_shipped", None):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    folder = tempfile.mkdtemp(prefix="cohortry-ship-")  # read by the driver alone, which serves the file to the executors
+    with open(os.path.join(folder, "cohortry.zip"), "wb") as out:
+        out.write(buffer.getvalue())
+    context.addPyFile(os.path.join(folder, "cohortry.zip"))
+    context.cohortry_shipped = True

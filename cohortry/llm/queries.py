@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortry.llm import bpe
 from cohortry.llm.jaccard import jaccard_components
 
 
@@ -17,8 +19,15 @@ def op4_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf))
 
 
+def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    rank_file = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = bpe.encode(_documents(spark, sf), rank_file, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(encoded, rank_file, public_tokenizers.PATTERN))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {}

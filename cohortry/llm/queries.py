@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import bpe
+from cohortry.llm import bpe, dac, decontaminate
 from cohortry.llm.jaccard import jaccard_components
+from cohortry.session import staging_path
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,6 +20,19 @@ def op4_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf))
 
 
+def op6_token_codes(spark: SparkSession, sf: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    path = staging_path(spark, "token-codes")
+    dac.write(_documents(spark, sf), tokenizer, 1, path)
+    return dac.checksums(dac.read(dac.segments(spark, path)))
+
+
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
+    return decontaminate.report(decontaminate.find(_documents(spark, sf).select("doc_id", "text"), benchmark))
+
+
 def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     rank_file = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     encoded = bpe.encode(_documents(spark, sf), rank_file, public_tokenizers.PATTERN)
@@ -27,6 +41,8 @@ def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op6_token_codes": op6_token_codes,
+    "op7_decontamination": op7_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
 }
 

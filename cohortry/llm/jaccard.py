@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from cohortry.llm.bytes import mix, runs, slices, stream, utf8, whole, words
 from cohortry.llm.components import components
+from cohortry.llm.sieve import passes, sieve
 from cohortry.session import ship_package, stage, unstage
 
 WORDS = 5
@@ -120,13 +121,24 @@ def _parity(x: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(x: np.ndarray) -> bytes:
+    """The upper five bytes of each hash; enough to compare two sets of the same pair."""
+    return x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(held: bytes) -> np.ndarray:
+    out = np.zeros((len(held) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(held, np.uint8).reshape(-1, 5)
+    return out.view(">u8").ravel().astype(np.int64)
+
+
+def _whole_sets(bitmap: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (ids,), texts in _blocks(batches):
-        sets = list(shingle_sets(texts))
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array([len(x) for x in sets], pa.int64()), pa.array([_parity(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
-            ["rep", "n", "bits", "shingles"],
-        )
+        kept = pa.array(ids.is_valid().to_numpy(zero_copy_only=False) & passes(bitmap, ids.fill_null(0).to_numpy()))
+        ids, sets = ids.filter(kept), list(shingle_sets(texts.filter(kept)))
+        n, key = pa.array([len(x) for x in sets], pa.int64()), pa.array(_keys(sets, 0))
+        held = [pa.array([f(x) for x in sets], pa.binary()) for f in (_parity, _packed)]
+        yield pa.RecordBatch.from_arrays([ids, n, key, *held], ["rep", "n", "k1", "bits", "shingles"])
 
 
 def may_link(a: bytes, b: bytes, total: int) -> bool:
@@ -141,7 +153,7 @@ def may_link(a: bytes, b: bytes, total: int) -> bool:
 
 def overlap(a: bytes, b: bytes) -> int:
     """Shared shingles: the smaller set's probed in the larger by binary search."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    x, y = _unpacked(a), _unpacked(b)
     if len(x) > len(y):
         x, y = y, x
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
@@ -158,17 +170,33 @@ def _kept(test):
     return run
 
 
+def _sifted(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """The rows whose first column may be in the bitmap."""
+    told = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(told.value, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _probe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of candidate pairs ``(a, b)``, those that link: first by the bitmaps' bound, then by the sets themselves."""
 
-    def with_sides(pairs: DataFrame, column: str, total: Column) -> DataFrame:
+    def with_sides(pairs: DataFrame, sets: DataFrame, column: str, total: Column) -> DataFrame:
         left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col(column).alias("x"))
         right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col(column).alias("y"))
         return pairs.join(right, "b").join(left, "a").select("a", "b", total.alias("total"), "x", "y")
 
-    near = with_sides(pairs, "bits", F.col("na") + F.col("nb")).mapInArrow(_kept(may_link), "a long, b long, total long")
-    full = with_sides(near, "shingles", F.col("total"))
-    return full.mapInArrow(_kept(lambda x, y, n: 9 * overlap(x, y) >= 4 * n), "a long, b long, total long").select("a", "b")
+    sided = with_sides(pairs, sets, "bits", F.col("na") + F.col("nb"))
+    near = stage(sided.mapInArrow(_kept(may_link), "a long, b long, total long").distinct(), "near")
+    needed = sieve(near.select(F.explode(F.array("a", "b")).alias("rep")))
+    full = with_sides(near, _sifted(sets.select("rep", "n", "shingles"), needed), "shingles", F.col("total"))
+    test = _kept(lambda x, y, n: len(x) + len(y) == 5 * n and 9 * overlap(x, y) >= 4 * n)
+    found = stage(full.mapInArrow(test, "a long, b long, total long").select("a", "b").distinct(), "found")
+    unstage(near)
+    return found
 
 
 def _sizes_fit(n: Column, m: Column) -> Column:
@@ -242,19 +270,33 @@ def jaccard_components(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFra
 
     ahead = docs.mapInArrow(ordered, "doc_id long, n long, k1 long, merged array<long>")
     merged = stage(ahead.join(reps.hint("merge"), "doc_id").dropDuplicates(["doc_id", "n", "k1"]), "merged")
-    rows = merged.select(F.explode("merged").alias("h"), F.col("doc_id").alias("rep"), "n").withColumn("t", F.shiftright("h", 32).cast("int"))
-    shared = merged.select(F.explode(_tops("merged")).alias("t")).groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").select("t")
+    shared = stage(merged.select(F.explode(_tops("merged")).alias("t")).groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").select("t"), "shared")
+    met = spark.sparkContext.broadcast(sieve(shared))
+
+    def lists_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("merged")
+            h = column.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+            kept = passes(met.value, h >> np.int64(32))
+            rows = pa.array(row[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(h[kept]), batch.column("doc_id").take(rows), batch.column("n").take(rows)], ["h", "rep", "n"])
+
+    rows = merged.select("doc_id", "n", "merged").mapInArrow(lists_met, "h long, rep long, n long").withColumn("t", F.shiftright("h", 32).cast("int"))
     lists = stage(rows.join(shared, "t").select("h", "rep", "n"), "lists")
-    unstage(merged)
-    members = lists.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(members.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text"])
-    sets = stage(texts.mapInArrow(_whole_sets, "rep long, n long, bits binary, shingles binary"), "sets")
+    unstage(merged, shared)
+    members = spark.sparkContext.broadcast(sieve(lists.select("rep")))
+    sets = stage(docs.mapInArrow(lambda batches: _whole_sets(members.value, batches), "rep long, n long, k1 long, bits binary, shingles binary"), "sets")
+    if ids.count() > ids.select("doc_id").distinct().count():  # repeated rows would multiply in the joins
+        once = stage(sets.dropDuplicates(["rep", "n", "k1"]), "sets")
+        unstage(sets)
+        sets = once
 
     labels = None
     for turn in range(hub_rounds + 1):
         here = _located(lists, labels)
-        met = _hub_pairs(here, turn) if turn < hub_rounds else _rest_pairs(here)
-        found = stage(_probe(met, sets), "found")
+        pairs = _hub_pairs(here, turn) if turn < hub_rounds else _rest_pairs(here)
+        found = _probe(pairs, sets)
         if not found.isEmpty():
             labels = components(found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         elif labels is None:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortry.llm import bpe, dac, decontaminate
+from cohortry.llm import bpe, dac, decontaminate, quality
 from cohortry.llm.jaccard import jaccard_components
 from cohortry.session import staging_path
 
@@ -16,6 +17,14 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op3_line_crf(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf).select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    return quality.score(docs, model).select(
+        "doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted")
+    )
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf))
 
@@ -40,6 +49,7 @@ def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_crf": op3_line_crf,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_token_codes": op6_token_codes,
     "op7_decontamination": op7_decontamination,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import bpe, dac, decontaminate, pii, quality
+from cohortry.llm import bpe, dac, decontaminate, fingerprints, pii, quality
 from cohortry.llm.jaccard import jaccard_components
 from cohortry.session import staging_path
 
@@ -17,6 +17,10 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_consistent_parsing(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.compare_neighbours(_documents(spark, sf))
+
+
 def op2_bootstrapped_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.report(pii.find(_documents(spark, sf)))
 
@@ -53,6 +57,7 @@ def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_consistent_parsing": op1_consistent_parsing,
     "op2_bootstrapped_pii": op2_bootstrapped_pii,
     "op3_line_crf": op3_line_crf,
     "op4_ngram_jaccard": op4_ngram_jaccard,

@@ -9,7 +9,10 @@ on the last token only through which first tokens may follow it, and states that
 agree on these are one.  When all places where a later token may still begin
 share the first tokens of their chains, the transducer emits them: it never looks
 further ahead than the longest vocabulary entry.  States and transitions are made
-when a text first needs them and dropped together when there are too many.
+when a text first needs them.  When a task has as many as it may keep, a piece that
+would need another is followed through all its places at once instead: of the
+tokens that end at a place, found by one automaton over the vocabulary, one may
+follow the last token where it begins.
 """
 
 from __future__ import annotations
@@ -17,8 +20,10 @@ from __future__ import annotations
 import base64
 import codecs
 import functools
+from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -28,10 +33,10 @@ from pyspark.sql import functions as F
 from cohortry.llm.bytes import slices, whole
 from cohortry.session import ship_package
 
-# Bounds of what a task keeps between pieces; beyond them it starts over.
-MOST_STATES = 150_000
+# Bounds of what a task keeps between pieces.
+MOST_STATES = 60_000
 MOST_PAIRS = 400_000
-MOST_PIECES = 150_000
+MOST_PIECES = 250_000
 LONGEST_KEPT_PIECE = 48
 
 # White space as the public tokenizers' own matcher takes it (fixed values); Python's \s also takes U+001C to U+001F.
@@ -70,11 +75,12 @@ class Transducer:
         self.ranks = ranks
         self.bytes = {rank: token for token, rank in ranks.items()}
         self.prefixes = {token[:k] for token in ranks for k in range(len(token))}
+        self.within = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self.within.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.within.make_automaton()
         self._own: dict[bytes, bool] = {}
         self._made: dict[int, tuple[int, int] | None] = {}
-        self._reset()
-
-    def _reset(self) -> None:
         self._pairs: dict[int, bool] = {}
         self.start = _Node()
         self.start.held, self.start.quiet, self.start.live, self.start.firsts, self.start.inner = b"", True, (), (), ()
@@ -219,17 +225,37 @@ class Transducer:
         found = node.rests[allowed] = [last[place - 1] for place in self._chain(last, len(node.held))]
         return found
 
+    def _places(self, piece: bytes) -> list[int]:
+        """The tokens of a piece from the last token at each of its places, without states."""
+        pairs = self._pairs
+        last = [-1] + [-2] * len(piece)
+        for end, (rank, size) in self.within.iter(piece.decode("latin-1")):
+            if last[end + 1] == -2:
+                before = last[end + 1 - size]
+                if before != -2:
+                    fits = True if before < 0 else pairs.get(before << 32 | rank)
+                    if (self._follows(before, rank) if fits is None else fits) and self._reachable(self.bytes[rank]):
+                        last[end + 1] = rank
+        out, end = [], len(piece)
+        while end:
+            out.append(last[end])
+            end -= len(self.bytes[last[end]])
+        return out[::-1]
+
     def encode(self, piece: bytes) -> list[int]:
         """The tokens of one piece, in one pass."""
         rank = self.ranks.get(piece)
         if rank is not None:
             return [rank]
-        if self._size > MOST_STATES:
-            self._reset()
+        full = self._size >= MOST_STATES
         node, before, out = self.start, -1, []
         for byte in piece:
             after = node.get(byte)
-            node = self._grow(node, byte) if after is None else after
+            if after is None:
+                if full:
+                    return self._places(piece)
+                after = self._grow(node, byte)
+            node = after
             if not node.quiet:
                 allowed = self._allowed(node, before)
                 emitted, node = node.exits.get(allowed) or self._exit(node, allowed)
@@ -241,30 +267,35 @@ class Transducer:
         return out + (self._rest(node, allowed) if rest is None else rest)
 
 
+def read_table(rank_file: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
+
+
 class Encoder:
-    """Whole texts: each match of the pattern goes through the transducer by itself."""
+    """Whole texts: each match of the pattern goes through the transducer by itself; frequent ones are remembered."""
 
     def __init__(self, rank_file: bytes, pattern: str):
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
-        self.transducer, self.pieces = Transducer(ranks), matcher(pattern)
-        self._known: dict[str, list[int]] = {}
-        self._older: dict[str, list[int]] = {}
+        self.transducer, self.pieces = Transducer(read_table(rank_file)), matcher(pattern)
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit numbers in this machine's order."""
+        split = [self.pieces.findall(text) for text in texts]
+        if len(self._known) > MOST_PIECES:
+            self._older, self._known = self._known, {}
+        known, older, encode, found = self._known, self._older, self.transducer.encode, {}
+        for piece in set().union(*split):
+            ids = known.get(piece) or older.get(piece)
+            if ids is None:
+                ids = array("i", encode(piece.encode())).tobytes()
+            found[piece] = ids
+            if len(piece) <= LONGEST_KEPT_PIECE:
+                known[piece] = ids
+        return [b"".join([found[piece] for piece in pieces]) for pieces in split]
 
     def encode(self, text: str) -> list[int]:
-        known, out = self._known, []
-        if len(known) > MOST_PIECES:
-            self._older, self._known = known, {}
-            known = self._known
-        for piece in self.pieces.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self._older.get(piece)
-                if ids is None:
-                    ids = self.transducer.encode(piece.encode())
-                if len(piece) <= LONGEST_KEPT_PIECE:
-                    known[piece] = ids
-            out += ids
-        return out
+        return array("i", self.encode_all([text])[0]).tolist()
 
 
 class Decoder:
@@ -284,11 +315,12 @@ def _encoder(rank_file: bytes, pattern: str) -> Encoder:
     return Encoder(rank_file, pattern)
 
 
-def encode(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
-    """``doc_id, ids`` (array of int) for each row of ``docs``; null and empty texts have no ids.
+def encode(docs: DataFrame, rank_file: bytes, pattern: str, decoded: bool = False) -> DataFrame:
+    """``doc_id, ids`` (array of int) for each row of ``docs``, with ``decoded`` also ``text``, decoded from the ids.
 
     The rank file (about 1 MB, whatever the input) goes to the tasks as it is.
-    Other columns are not read; repeated rows stay.
+    Null and empty texts have no ids and decode to the empty text.  Other columns
+    are not read; repeated rows stay.
     """
     ship_package(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast((rank_file, pattern))
@@ -298,36 +330,46 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
         for batch in batches:
             texts = whole(batch.column(1))
             for lo, hi in slices(texts):
-                ids = [np.array(encoder.encode(text), np.int32) for text in texts.slice(lo, hi - lo).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["doc_id", "ids"])
+                ids = encoder.encode_all(texts.slice(lo, hi - lo).to_pylist())
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                columns, names = [batch.column(0).slice(lo, hi - lo), lists], ["doc_id", "ids"]
+                if decoded:
+                    columns.append(_decoded(lists, encoder.transducer.bytes))
+                    names.append("text")
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
+
+
+def _decoded(column: pa.ListArray, table: dict[int, bytes]) -> pa.Array:
+    """The text of each row's ids, fed in blocks to a streaming decoder; null ids give null."""
+    texts = []
+    for ids in column:
+        if not ids.is_valid:
+            texts.append(None)
+            continue
+        decoder, values = Decoder(table), ids.values.to_numpy()
+        blocks = [decoder.feed(values[k : k + 65536].tolist()) for k in range(0, len(values), 65536)]
+        texts.append("".join(blocks) + decoder.feed([], True))
+    return pa.array(texts, pa.string())
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
+@functools.lru_cache(maxsize=2)
+def _bytes(rank_file: bytes) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_table(rank_file).items()}
 
-def decode(encoded: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
-    """``doc_id, ids, text`` from ``doc_id, ids``: each row's ids fed in blocks to a streaming decoder.
 
-    Null ids give a null text, and an id outside the vocabulary is an error.
-    """
+def decode(encoded: DataFrame, rank_file: bytes) -> DataFrame:
+    """``doc_id, ids, text`` from ``doc_id, ids``; an id outside the vocabulary is an error."""
     ship_package(encoded.sparkSession)
-    told = encoded.sparkSession.sparkContext.broadcast((rank_file, pattern))
+    told = encoded.sparkSession.sparkContext.broadcast(rank_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _encoder(*told.value).transducer.bytes
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                texts = []
-                for ids in part.column("ids"):
-                    if not ids.is_valid:
-                        texts.append(None)
-                        continue
-                    decoder, values = Decoder(table), ids.values.to_numpy()
-                    blocks = [decoder.feed(values[k : k + 65536].tolist()) for k in range(0, len(values), 65536)]
-                    texts.append("".join(blocks) + decoder.feed([], True))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(part.column(1), _bytes(told.value))], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 

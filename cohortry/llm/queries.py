@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import bpe, dac, decontaminate, fingerprints, pii, quality
+from cohortry.llm import bpe, dac, decontaminate, fingerprints, language, licences, pii, quality, token_counts
 from cohortry.llm.jaccard import jaccard_components
 from cohortry.session import staging_path
 
@@ -37,6 +37,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf))
 
 
+def op5_licence_digests(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.scan(_documents(spark, sf), licences.known(spark))
+
+
 def op6_token_codes(spark: SparkSession, sf: str) -> DataFrame:
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
         tokenizer = file.read()
@@ -52,8 +56,18 @@ def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     rank_file = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    encoded = bpe.encode(_documents(spark, sf), rank_file, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, rank_file, public_tokenizers.PATTERN))
+    return bpe.digests(bpe.encode(_documents(spark, sf), rank_file, public_tokenizers.PATTERN, decoded=True))
+
+
+def op9_trie_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.count_tokens(_documents(spark, sf), token_counts.zipf_scores(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op10_rank_order_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    known = language.profiles(docs.filter(~language.is_held_out(F.col("doc_id"))))
+    found = language.predict(docs, known)
+    return found.select("doc_id", language.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -61,9 +75,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bootstrapped_pii": op2_bootstrapped_pii,
     "op3_line_crf": op3_line_crf,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_licence_digests": op5_licence_digests,
     "op6_token_codes": op6_token_codes,
     "op7_decontamination": op7_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_trie_token_counts": op9_trie_token_counts,
+    "op10_rank_order_language": op10_rank_order_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_licence_digests": licences.checking_sql(),
+}

@@ -14,7 +14,8 @@ SEASONS = {"Winter": ("W", 1), "Spring": ("X", 4), "Summer": ("S", 6), "Fall": (
 # Fixed value: a cohort younger than this many days is still in progress.
 IN_PROGRESS_DAYS = 120
 
-_LABEL = r"^(" + "|".join(SEASONS) + r")\s+(\d{4})$"
+# White space between the words in any script, as in ``clean_text``.
+_LABEL = r"^(" + "|".join(SEASONS) + r")(?U:\s)+(\d{4})$"
 
 
 def parse_cohort(label: Column) -> Column:

@@ -14,7 +14,7 @@ KEYWORD_PATTERN = (
     r"\bgpt\b|generative|neural network|computer vision|\bnlp\b"
 )
 
-# Every alternative starts with one of these letters; looking ahead for one skips most positions.
+# Every alternative of the two patterns starts with one of these letters; looking ahead for one skips most positions.
 _FIRST_LETTER = "(?=[acdglmn])"
 
 # Upper edges (included) of the size classes and their labels.
@@ -22,19 +22,18 @@ SIZE_EDGES = (1, 2, 5, 10, 50, 200)
 SIZE_LABELS = ("1", "2", "3-5", "6-10", "11-50", "51-200", "200+")
 
 
-def _matches(text: Column, pattern: str, first: str) -> Column:
+def _matches(text: Column, pattern: str) -> Column:
+    first = _FIRST_LETTER if pattern in (TAG_PATTERN, KEYWORD_PATTERN) else ""
     return text.rlike(f"(?iU){first}(?:{pattern})")
 
 
-def any_tag_matches(tags: Column, pattern: str = TAG_PATTERN, first: str = _FIRST_LETTER) -> Column:
-    return F.exists(tags, lambda tag: _matches(tag, pattern, first))
+def any_tag_matches(tags: Column, pattern: str = TAG_PATTERN) -> Column:
+    return F.exists(tags, lambda tag: _matches(tag, pattern))
 
 
-def text_matches(
-    one_liner: Column, description: Column, pattern: str = KEYWORD_PATTERN, first: str = _FIRST_LETTER
-) -> Column:
+def text_matches(one_liner: Column, description: Column, pattern: str = KEYWORD_PATTERN) -> Column:
     text = F.concat(F.coalesce(one_liner, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))
-    return _matches(text, pattern, first)
+    return _matches(text, pattern)
 
 
 def size_class(size: Column) -> Column:

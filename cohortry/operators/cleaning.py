@@ -139,16 +139,16 @@ def clean(raw: DataFrame, as_of: dt.date, order: list[str], **options) -> DataFr
 
 # Steps of the log, in order, with what was decided.
 DECISIONS = {
-    "duplicate_ids": "Repeated ids dropped, the last record kept.",
-    "unknown_status": "Statuses outside the known set recoded to 'Unknown'.",
-    "industry_unspecified": "'Unspecified' kept as a category of its own; left out of rates by industry.",
-    "unparsed_batch": "Label is not '<Season> <YYYY>': derived cohort fields null, row kept.",
-    "team_size_invalid": "Sizes of zero or less set to null.",
-    "team_size_outlier": "Sizes above the fence of {fence} flagged and kept.",
-    "team_size_missing": "Missing sizes left null.",
-    "launched_at_out_of_range": "Launch dates out of bounds set to null.",
-    "no_physical_location": "No place other than remote: place fields left null.",
-    "shared_names": "Rows that share a name, case ignored, kept as distinct ids.",
+    "duplicate_ids": "An id given more than once: only its latest record went on.",
+    "unknown_status": "A status that is not one of the known ones became 'Unknown'.",
+    "industry_unspecified": "No industry was named; the row counts in totals but in no rate of an industry.",
+    "unparsed_batch": "No season and year could be read from the label; such rows have no cohort year.",
+    "team_size_invalid": "A team needs one person; other sizes were emptied.",
+    "team_size_outlier": "Beyond the fence ({fence}) a size only gets a mark.",
+    "team_size_missing": "No size was given and none was guessed.",
+    "launched_at_out_of_range": "A launch before the first or after the last possible day was emptied.",
+    "no_physical_location": "Nothing but remote work was listed, so city and country are empty.",
+    "shared_names": "Another id carries the same name; both rows are there.",
 }
 
 

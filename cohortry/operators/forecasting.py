@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.stats import LEVEL_Z, finite
+from cohortry.session import ship_package
 
 # Fixed value: points before the first backtest origin; extra points a series needs to be compared.
 MIN_TRAIN = 8
@@ -91,8 +92,8 @@ def _arima_states(y: np.ndarray) -> list[tuple]:
 
     Running sums of the differences are all it needs.  For a given weight the
     best mean and the likelihood have closed forms; the weight is searched on a
-    coarse and then a fine grid.  No fit with fewer than four differences or
-    when all of them are equal.
+    coarse and then a fine grid.  No fit with fewer than four differences; when
+    all of them are equal, the drift alone is exact.
     """
     w = np.diff(y)
     total, square = np.cumsum(w), np.cumsum(w * w)
@@ -115,6 +116,8 @@ def _arima_states(y: np.ndarray) -> list[tuple]:
             near, _, _ = search(i, _PHI_COARSE)
             _, phi, mean = search(i, near + _PHI_FINE)
             out[i + 1] = (y[i + 1], mean, w[i] - mean, phi)
+        else:
+            out[i + 1] = (y[i + 1], w[i], 0.0, 0.0)
     return out
 
 
@@ -201,6 +204,7 @@ def _estimated_fits(
             parts.append(pd.DataFrame({**frame, "model": model}).join(found))
         return pd.concat(parts)[["series", "model", "k", "t", "next_t", "next_y", "level", "drift", "swing", "decay"]]
 
+    ship_package(series.sparkSession)
     fitted = series.select("series", "t", "y").groupBy("series").applyInPandas(run, out)
     names = ["next_y", "level", "drift", "swing", "decay"]
     return fitted.withColumns({n: F.nanvl(n, F.lit(None).cast("double")) for n in names})
@@ -326,6 +330,7 @@ def plugin_backtest(series: DataFrame, name: str, model: Forecaster, min_train:
             "pred": pd.Series(predicted, index=later.index, dtype="object"),
         })
 
+    ship_package(series.sparkSession)
     t_type = series.schema["t"].dataType.simpleString()
     out = f"series string, model string, t {t_type}, actual double, pred double"
     return series.groupBy("series").applyInPandas(run, out)

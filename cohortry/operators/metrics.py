@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.stats import percent, wilson
-from cohortry.operators.ordering import exact_quantiles, running_totals
+from cohortry.operators.ordering import dense_number, exact_quantiles, running_totals
 from cohortry.schemas import UNSPECIFIED
 
 
@@ -59,21 +59,20 @@ def log_counts(counts: DataFrame) -> DataFrame:
     return counts.withColumn("log10_n", F.log10("n"))
 
 
-def crosstab_share(df: DataFrame, row: str, col: str, top_n: int = 10, normalize: str = "columns") -> DataFrame:
-    """Rows (row, col, n, share_pct) for the ``top_n`` most frequent rows and every column value.
+def crosstab_share(df: DataFrame, row: str, col: str, top_n: int | None = 10, normalize: str = "columns") -> DataFrame:
+    """Rows (row, col, n, share_pct) for the ``top_n`` most frequent rows (None: all) and every column value.
 
     Shares are of all rows, so a truncated column need not sum to 100.  Absent
-    pairs appear with zero: each column value is combined with the list of top
-    rows, which holds at most ``top_n`` items.
+    pairs appear with zero: each column value is combined with the list of rows,
+    as the zero-filled matrix has a cell for each pair.
     """
     known = df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
     pairs = known.groupBy(row, col).agg(F.count("*").alias("n"))
-    top = (
-        pairs.groupBy(row).agg(F.sum("n").alias("_row_n")).orderBy(F.desc("_row_n"), row).limit(top_n)
-        .agg(F.collect_list(F.struct(F.col(row).alias("_row"), "_row_n")))
-    )
+    rows = pairs.groupBy(F.col(row).alias("_row")).agg(F.sum("n").alias("_row_n"))
+    if top_n is not None:
+        rows = rows.orderBy(F.desc("_row_n"), "_row").limit(top_n)
     per_col = pairs.groupBy(F.col(col).alias("_col")).agg(F.sum("n").alias("_col_n"))
-    spine = per_col.withColumn("_top", top.scalar()).select("_col", "_col_n", F.inline("_top"))
+    spine = per_col.withColumn("_top", rows.agg(F.collect_list(F.struct("_row", "_row_n"))).scalar()).select("_col", "_col_n", F.inline("_top"))
     filled = spine.join(pairs, (F.col("_row") == F.col(row)) & (F.col("_col") == F.col(col)), "left")
     n = F.coalesce(F.col("n"), F.lit(0).cast("long"))
     whole = F.col("_col_n" if normalize == "columns" else "_row_n")
@@ -89,7 +88,7 @@ def wide(df: DataFrame, row: str, col: str, value: str, columns: list) -> DataFr
 
 def status_mix(df: DataFrame) -> DataFrame:
     """Percent of each status within a year, zero-filled."""
-    statuses = crosstab_share(df, "status", "batch_year", top_n=1000, normalize="columns")
+    statuses = crosstab_share(df, "status", "batch_year", top_n=None, normalize="columns")
     return statuses.select("batch_year", "status", "n", "share_pct")
 
 
@@ -266,18 +265,20 @@ def frequent_groups(df: DataFrame, column: str, min_n: int = 100) -> DataFrame:
 
 
 def picklists(df: DataFrame, countries: int = 40) -> DataFrame:
-    """Rows (list, position, value): groups by name, most frequent countries, and year bounds."""
+    """Rows (list, position, value): all groups by name, the most frequent countries, and year bounds (runs a job).
+
+    The groups are numbered without gathering them; the other lists are short by definition.
+    """
     groups = df.filter(F.col("industry").isNotNull()).select("industry").distinct()
-    names = groups.agg(F.sort_array(F.collect_list("industry")).alias("v"))
+    names = dense_number(groups, F.col("industry"), "_n")
     top = top_counts(df, "primary_country", countries).agg(F.collect_list("primary_country").alias("v"))
     bounds = df.agg(F.array(
         F.min("batch_year").cast("string"), F.max("batch_year").cast("string"),
         F.max(F.when(F.col("batch_status") == "complete", F.col("batch_year"))).cast("string"),
     ).alias("v"))
-    out = None
-    for name, values in (("industry", names), ("country", top), ("year_min_max_complete", bounds)):
-        part = values.select(F.lit(name).alias("list"), F.posexplode("v").alias("position", "value"))
-        out = part if out is None else out.unionByName(part)
+    out = names.select(F.lit("industry").alias("list"), (F.col("_n") - 1).cast("int").alias("position"), F.col("industry").alias("value"))
+    for name, values in (("country", top), ("year_min_max_complete", bounds)):
+        out = out.unionByName(values.select(F.lit(name).alias("list"), F.posexplode("v").alias("position", "value")))
     return out
 
 

@@ -9,8 +9,8 @@ holds about the same share whatever the distribution.  Bucket totals (at most
 bucket does the rest.  Results are exact: the sample only balances the work.
 
 The grouped rows are written to the shared folder first, because cut points,
-totals and rows would each scan the source again otherwise.  The written table
-is counted, and one of at most ``SMALL`` rows takes a plain window instead.
+totals and rows would each scan the source again otherwise.  Every size takes the
+same path; the number of buckets follows the session's shuffle parallelism.
 """
 
 from __future__ import annotations
@@ -22,14 +22,18 @@ from pyspark.sql import functions as F
 
 from cohortry.session import stage
 
-BITS = 6
-# Up to this many rows, one task orders them without harm.
-SMALL = 200_000
 _SAMPLES_PER_BUCKET = 16
 
 
-def with_bucket(df: DataFrame, key: Column, bits: int = BITS) -> DataFrame:
+def bucket_bits(df: DataFrame) -> int:
+    """Two buckets for each shuffle partition, as a power of two."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, (2 * parts - 1).bit_length())
+
+
+def with_bucket(df: DataFrame, key: Column, bits: int | None = None) -> DataFrame:
     """Add ``_key`` and ``_bucket``; buckets are numbered in key order, 0 .. 2**bits - 1."""
+    bits = bucket_bits(df) if bits is None else bits
     buckets = 2 ** bits
     sample = (
         df.select(key.alias("_key"))
@@ -58,7 +62,7 @@ def with_bucket(df: DataFrame, key: Column, bits: int = BITS) -> DataFrame:
 
 
 def running_totals(
-    df: DataFrame, key: Column, sums: Mapping[str, Column], by: Sequence[str] = (), bits: int = BITS, small: int = SMALL
+    df: DataFrame, key: Column, sums: Mapping[str, Column], by: Sequence[str] = (), bits: int | None = None
 ) -> DataFrame:
     """Add inclusive running totals in key order, per group where ``by`` is given (runs a job).
 
@@ -67,10 +71,6 @@ def running_totals(
     """
     by = list(by)
     held = stage(df, "totals")
-    upto = Window.unboundedPreceding, 0
-    if held.count() <= small:
-        whole = Window.partitionBy(*by).orderBy(key).rowsBetween(*upto)
-        return held.select("*", *[F.sum(value).over(whole).alias(name) for name, value in sums.items()])
     valued = held.select("*", *[value.alias(f"_v_{name}") for name, value in sums.items()])
     parts = with_bucket(valued, key, bits)
     totals = parts.groupBy(*by, "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
@@ -80,9 +80,9 @@ def running_totals(
         F.col("_bucket").alias("_b"),
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
     )
-    # Without groups the offsets are at most 2**bits rows: a proven bound.
+    # Without groups the offsets are at most 2**bits rows, a few for each shuffle partition: a proven bound.
     joined = parts.join(offsets if by else F.broadcast(offsets), _same_bucket(by))
-    within = Window.partitionBy(*by, "_bucket").orderBy("_key").rowsBetween(*upto)
+    within = Window.partitionBy(*by, "_bucket").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(
         *df.columns,
         *[(F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(within)).alias(n) for n in sums],
@@ -96,19 +96,19 @@ def _same_bucket(by: Sequence[str]) -> Column:
     return same
 
 
-def dense_number(df: DataFrame, key: Column, name: str, small: int = SMALL) -> DataFrame:
+def dense_number(df: DataFrame, key: Column, name: str) -> DataFrame:
     """Number rows 1..n in the order of a unique key, as a BIGINT column in front (runs a job)."""
-    numbered = running_totals(df, key, {name: F.lit(1).cast("long")}, small=small)
+    numbered = running_totals(df, key, {name: F.lit(1).cast("long")})
     return numbered.select(name, *df.columns)
 
 
 def exact_quantiles(
-    df: DataFrame, value: Column, probs: Mapping[str, float], by: Sequence[str] = (), bits: int = BITS, small: int = SMALL
+    df: DataFrame, value: Column, probs: Mapping[str, float], by: Sequence[str] = (), bits: int | None = None
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group, one row per group with known values (runs a job).
 
-    Equal values are counted before anything moves.  Beyond the small case,
-    only the buckets that hold a wanted rank are sorted.
+    Equal values are counted before anything moves; only the buckets that hold a
+    wanted rank are sorted.
     """
     by = list(by)
     counted = stage(
@@ -124,26 +124,22 @@ def exact_quantiles(
         return F.floor(at), F.ceil(at)
 
     group = Window.partitionBy(*by)
-    if counted.count() <= small:
-        upto = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        placed = counted.select("*", F.sum("_n").over(group).alias("_all"), F.sum("_n").over(upto).alias("_upto"))
-    else:
-        parts = with_bucket(counted, F.col("_v"), bits).drop("_key")
-        earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        totals = parts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_in")).select(
-            "*", F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"), F.sum("_in").over(group).alias("_all")
-        )
-        wanted = F.lit(False)
-        for p in probs.values():
-            for rank in ranks(p):
-                wanted = wanted | ((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_in")))
-        totals = totals.filter(wanted).select(
-            *[F.col(b).alias(f"_b_{b}") for b in by], F.col("_bucket").alias("_b"), "_before", "_all"
-        )
-        # Without groups at most two buckets per quantile are left: a proven bound.
-        hit = parts.join(totals if by else F.broadcast(totals), _same_bucket(by))
-        within = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        placed = hit.withColumn("_upto", F.col("_before") + F.sum("_n").over(within))
+    parts = with_bucket(counted, F.col("_v"), bits).drop("_key")
+    earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_in")).select(
+        "*", F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"), F.sum("_in").over(group).alias("_all")
+    )
+    wanted = F.lit(False)
+    for p in probs.values():
+        for rank in ranks(p):
+            wanted = wanted | ((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_in")))
+    totals = totals.filter(wanted).select(
+        *[F.col(b).alias(f"_b_{b}") for b in by], F.col("_bucket").alias("_b"), "_before", "_all"
+    )
+    # Without groups at most two buckets per quantile are left: a proven bound.
+    hit = parts.join(totals if by else F.broadcast(totals), _same_bucket(by))
+    within = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = hit.withColumn("_upto", F.col("_before") + F.sum("_n").over(within))
 
     def at_rank(rank: Column) -> Column:
         covers = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)

@@ -62,12 +62,12 @@ def _first_physical() -> Column:
 
 
 def batches(features: DataFrame) -> DataFrame:
-    """One row per cohort label, numbered by order and label, unparsed labels last."""
-    rows = features.select(
-        "batch", F.col("batch_season").alias("season"), F.col("batch_year").alias("year"),
-        F.col("batch_code").alias("code"), "batch_order",
+    """One row per cohort label, with the derived fields of its first entity, numbered by order and label, unparsed labels last."""
+    derived = F.struct(
+        F.col("batch_season").alias("season"), F.col("batch_year").alias("year"), F.col("batch_code").alias("code"), "batch_order",
         iso_date(F.col("batch_start")).alias("approx_start_date"), "batch_status",
-    ).distinct()
+    )
+    rows = features.groupBy("batch").agg(F.min_by(derived, "company_id").alias("_d")).select("batch", "_d.*")
     key = F.struct(F.isnull("batch_order"), "batch_order", F.isnull("batch"), "batch")
     return dense_number(rows, key, "batch_id")
 

@@ -139,7 +139,7 @@ QUERIES = {
     "year_status": lambda s, d: metrics.year_status(_complete(s, d)),
     "top_counts": lambda s, d: metrics.top_counts(_complete(s, d), "primary_city", 15),
     "country_log_counts": lambda s, d: _round(
-        metrics.log_counts(metrics.top_counts(_complete(s, d), "primary_country", 300))),
+        metrics.log_counts(metrics.value_counts(_complete(s, d).filter(F.col("primary_country").isNotNull()), "primary_country"))),
     "status_distribution": lambda s, d: metrics.value_counts(_complete(s, d), "status"),
     "status_mix": lambda s, d: _round(metrics.status_mix(_complete(s, d))),
     "median_by_year": lambda s, d: _round(metrics.median_by_year(_complete(s, d))),
@@ -258,7 +258,7 @@ ORACLES = {
         "SELECT primary_country, count(*) AS n, round(log10(count(*)), 6) AS log10_n FROM d "
         "WHERE primary_country IS NOT NULL GROUP BY 1"),
     "status_distribution": _sql("SELECT status, count(*) AS n FROM d GROUP BY 1"),
-    "status_mix": _crosstab("status", "batch_year", 1000, "cn", "TRUE"),
+    "status_mix": _crosstab("status", "batch_year", 10**9, "cn", "TRUE"),
     "median_by_year": _sql(
         "SELECT batch_year AS year, round(quantile_cont(team_size, 0.5), 6) AS median FROM d "
         "WHERE team_size IS NOT NULL GROUP BY 1"),

@@ -97,7 +97,7 @@ def runs_table(spark: SparkSession, sf: str) -> DataFrame:
             table.filter(F.col("model") == model), "forecast", METRICS, {"min_train": fc.MIN_TRAIN}, ["series"],
             notes="monthly counts"), path)
     flat = runlog.flatten_runs(runlog.read_runs(spark, path), ["rmse", "mae", "n_eval", "absent"])
-    return flat.select(
+    return runlog.newest_first(flat, flat.columns).select(
         "kind", "model", "dataset_version", F.col("params")["series"].alias("series"),
         F.col("params")["min_train"].alias("min_train"), "m_rmse", "m_mae", "m_n_eval", "m_absent", "notes")
 
@@ -174,7 +174,8 @@ _WINDOW_FITS = (
     "wfits AS (SELECT series, 'naive' AS model, k, t, next_t, next_y, y AS level, 0::DOUBLE AS drift, 0::DOUBLE AS swing, "
     "0::DOUBLE AS decay FROM rows2 UNION ALL "
     "SELECT series, 'moving_avg_3', k, t, next_t, next_y, ma3, 0, 0, 0 FROM rows2 UNION ALL "
-    "SELECT series, 'arima_110', k, t, next_t, next_y, y, b.mu, w - b.mu, b.phi FROM rows2 LEFT JOIN fine USING (series, k))"
+    "SELECT series, 'arima_110', k, t, next_t, next_y, y, coalesce(b.mu, CASE WHEN k >= 5 THEN w END), "
+    "coalesce(w - b.mu, CASE WHEN k >= 5 THEN 0 END), coalesce(b.phi, CASE WHEN k >= 5 THEN 0 END) FROM rows2 LEFT JOIN fine USING (series, k))"
 )
 
 _SES = (

@@ -39,10 +39,7 @@ def features(spark: SparkSession, raw_path: str, out: str, as_of: dt.date) -> Da
     """Write ``features`` and the ``dataset_meta`` sidecar."""
     files.write_parquet(build_features(files.read_parquet(spark, f"{out}/clean"), as_of), f"{out}/features")
     table = files.read_parquet(spark, f"{out}/features")
-    # The version of one file is its own; of several, that of their ordered hashes.
-    manifest = files.file_manifest(spark, raw_path).orderBy("path")
-    hashes = [row["sha256"] for row in manifest.select("sha256").collect()]
-    version = hashes[0] if len(hashes) == 1 else spark.range(1).select(F.sha2(F.lit("".join(hashes)), 256)).first()[0]
+    version = files.files_version(files.file_manifest(spark, raw_path))
     files.write_sidecar(spark, f"{out}/dataset_meta", {
         "dataset_version": version[: files.VERSION_LENGTH], "as_of": as_of.isoformat(), "n_companies": table.count(),
     })

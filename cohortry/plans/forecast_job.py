@@ -17,10 +17,9 @@ METRICS = ("mae", "rmse", "mape_pct", "n_eval", "fit_failures", "rmse_vs_naive")
 
 def annual_series(features: DataFrame, min_group: int = 100) -> DataFrame:
     """Yearly counts of all rows, of both flags and of every frequent industry."""
-    groups = frequent_groups(features, "industry", min_group).agg(F.collect_list("industry")).scalar()
-    marked = features.withColumn("_groups", groups)
-    named = F.when(F.array_contains("_groups", F.col("industry")), F.col("industry"))
-    return count_series(marked, membership(groups=(named,)))
+    groups = frequent_groups(features, "industry", min_group).select(F.col("industry").alias("_group"))
+    marked = features.join(groups, F.col("industry") == F.col("_group"), "left")
+    return count_series(marked, membership(groups=(F.col("_group"),)))
 
 
 def run(features: DataFrame, csv_path: str, log_path: str, version: str = "unknown") -> DataFrame:

@@ -113,11 +113,23 @@ def read_tables(spark: SparkSession, root: str, names: Sequence[str]) -> dict[st
 
 
 def write_jdbc(tables: Mapping[str, DataFrame], order: Sequence[str], url: str, properties: Mapping[str, str]) -> None:
-    """Replace the tables in a relational database, parents first."""
+    """Refill the tables of a relational database: children are emptied before their parents, then parents are filled first.
+
+    ``order`` lists parents before children.
+    """
+    for name in reversed(order):
+        tables[name].limit(0).write.option("truncate", "true").jdbc(url, name, mode="overwrite", properties=dict(properties))
     for name in order:
-        tables[name].write.option("truncate", "true").option("batchsize", "500").jdbc(
-            url, name, mode="overwrite", properties=dict(properties)
-        )
+        tables[name].write.option("batchsize", "500").jdbc(url, name, mode="append", properties=dict(properties))
+
+
+def files_version(manifest: DataFrame) -> str:
+    """The hash of one file; of several, that of the sums of their hashes' quarters, whatever their order and number."""
+    quarters = [
+        F.sum(F.conv(F.substring("sha256", 1 + 16 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)
+    ]
+    whole = F.sha2(F.concat_ws(":", *quarters, F.count("*").cast("string")), 256)
+    return manifest.agg(F.when(F.count("*") == 1, F.max("sha256")).otherwise(whole)).first()[0]
 
 
 # ---------------------------------------------------------------- sidecars

@@ -33,6 +33,8 @@ def test_cohort_labels(spark):
     assert winter["start"] == dt.date(2012, 1, 1)
     assert parsed("Spring 2025")["code"] == "X25"
     assert parsed("Fall 2024")["start"] == dt.date(2024, 9, 1)
+    for space in ("\u00a0", "\u2003", " \t"):
+        assert parsed(f"Fall{space}2024")["order"] == 202409
     for odd in ("Unspecified", "winter 2012", "Winter 12", None):
         assert all(v is None for v in parsed(odd))
 
@@ -76,6 +78,10 @@ def test_flags(spark):
     assert not tagged("SaaS", "Fintech", "Paid")
     assert worded("An LLM-based assistant") and not worded("Sells tailored suits") and not worded(None)
     assert not worded("éai") and worded("the A.I.x age")
+    # A pattern of the caller's own may begin with any letter.
+    words = F.lit("zinc and iron")
+    assert one(spark, flags.text_matches(words, F.lit(None).cast("string"), r"\bzinc").alias("v"))["v"]
+    assert one(spark, flags.any_tag_matches(F.array(words), "iron$").alias("v"))["v"]
 
 
 def test_states_and_sizes(spark):
@@ -99,30 +105,30 @@ def test_epochs(spark):
 
 def test_last_record_per_id_is_kept(cleaned):
     rows, log = cleaned
-    assert len(rows) == 6 and rows[1]["name"] == "Duplicate id" and log["duplicate_ids"] == 1
+    assert len(rows) == 7 and rows[31]["name"] == "Third try" and rows[31]["team_size"] == 11 and log["duplicate_ids"] == 2
 
 
 def test_cleaned_values(cleaned):
     rows, log = cleaned
-    assert rows[2]["team_size"] is None and rows[3]["team_size"] is None and rows[1]["team_size"] == 5
-    assert rows[1]["status"] == "Active" and rows[1]["is_operating"] and rows[3]["status"] == "Unknown"
-    assert rows[4]["primary_country"] == "United Kingdom" and rows[4]["is_remote"]
-    assert rows[3]["primary_country"] is None and rows[3]["is_remote"] and rows[5]["primary_country"] is None
-    assert rows[1]["subindustry"] == "Engineering" and rows[1]["website"] == "https://example.com"
-    assert rows[4]["name"] == "Co 4" and rows[5]["launched_at"] is None
-    assert rows[1]["launched_at"] == dt.datetime(2011, 11, 23, 10, 52, 3)
-    assert log["unknown_status"] == 1 and log["industry_unspecified"] == 1 and log["unparsed_batch"] == 1
-    assert log["team_size_invalid"] == 1 and log["team_size_missing"] == 2 and log["no_physical_location"] == 2
-    assert len(log) == 10
+    assert rows[33]["team_size"] is None and rows[37]["team_size"] is None and rows[34]["team_size"] == 11
+    assert rows[31]["status"] == "Public" and rows[31]["is_operating"] and rows[33]["status"] == "Unknown" and not rows[33]["is_operating"]
+    assert rows[34]["primary_country"] == "Norway" and rows[34]["primary_city"] == "Oslo" and rows[34]["is_remote"]
+    assert rows[33]["primary_country"] is None and rows[33]["is_remote"] and rows[36]["primary_country"] is None
+    assert rows[35]["subindustry"] == "Grain" and rows[35]["website"] == "http://mill.example.org/"
+    assert rows[34]["name"] == "Mill 34 Works" and rows[36]["launched_at"] is None
+    assert rows[34]["launched_at"] == dt.datetime(2014, 6, 6)
+    assert rows[35]["batch"] == rows[36]["batch"] == "Fall 2014" and rows[35]["batch_year"] == rows[36]["batch_year"] == 2014
+    expected = {"unknown_status": 1, "industry_unspecified": 1, "unparsed_batch": 1, "team_size_invalid": 1, "team_size_missing": 2, "no_physical_location": 2}
+    assert {step: log[step] for step in expected} == expected and len(log) == 10
 
 
 def test_features(cleaned):
     rows, _ = cleaned
-    assert rows[4]["is_ai"] and rows[4]["ai_tag"] and not rows[1]["is_ai"]
-    assert rows[5]["batch_status"] == "future" and rows[2]["batch_status"] == "unknown"
-    assert rows[1]["team_size_bucket"] == "3-5" and rows[1]["years_since_batch"] == 14
-    assert rows[4]["tag_count"] == 2 and rows[1]["description_length"] == 16
-    assert set(FEATURE_COLUMNS) <= set(rows[1].asDict())
+    assert rows[34]["is_ai"] and rows[34]["ai_tag"] and not rows[31]["is_ai"]
+    assert rows[38]["batch_status"] == "future" and rows[37]["batch_status"] == "unknown" and rows[35]["batch_status"] == "complete"
+    assert rows[31]["team_size_bucket"] == "11-50" and rows[31]["years_since_batch"] == 12 and rows[38]["team_size_bucket"] == "200+"
+    assert rows[34]["tag_count"] == 2 and rows[31]["description_length"] == len("Turns grain into flour.")
+    assert set(FEATURE_COLUMNS) <= set(rows[31].asDict())
 
 
 def test_only_the_extreme_size_is_an_outlier(spark):
@@ -148,12 +154,12 @@ def test_validation(spark, dirty):
             F.get_json_object("value", "$.status").alias("status"))
         return validation.verdict(validation.field_presence(lines, "value"), keyed, "id", "status")
 
-    good = check([{**r, "status": "Active"} for r in dirty[1:]]).first()
+    good = check([{**r, "status": "Public"} for r in dirty[3:]]).first()
     assert good["ok"] and good["errors"] == [] and good["warnings"] == [] and good["n_records"] == 6
     full = check(dirty).first()
-    assert full["ok"] and full["warnings"] == ["1 duplicate ids", "7 unexpected status values"]
-    partial = [{k: v for k, v in r.items() if k != "stage" or r["id"] > 2} for r in dirty]
-    assert "field absent from 3 records: stage" in check(partial).first()["warnings"]
+    assert full["ok"] and full["warnings"] == ["2 duplicate ids", "9 unexpected status values"]
+    partial = [{k: v for k, v in r.items() if k != "stage" or r["id"] > 33} for r in dirty]
+    assert "field absent from 4 records: stage" in check(partial).first()["warnings"]
     bad = check([{"id": 1}])
     assert not bad.first()["ok"] and len(bad.first()["errors"]) == 19
     empty = check([]).first()
@@ -174,11 +180,11 @@ def test_quality_report(spark, dirty):
     clean = annotated.select(*CLEAN_COLUMNS)
     report = quality.quality_report(raw, clean, cleaning.cleaning_log(raw, annotated))
     found = {(r["section"], r["item"]): r["value"] for r in report.collect()}
-    assert found["table", "raw_rows"] == "7" and found["table", "clean_rows"] == "6" and found["table", "columns"] == "33"
-    assert found["missing_pct", "team_size"] == "33.33" and found["missing_pct", "tags"] == "0.0"
+    assert found["table", "raw_rows"] == "9" and found["table", "clean_rows"] == "7" and found["table", "columns"] == "33"
+    assert found["missing_pct", "team_size"] == "28.57" and found["missing_pct", "tags"] == "0.0"
     assert found["duplicates", "company_id"] == "0" and found["unique_counts", "batch"] == "3"
-    assert found["invalid_values", "duplicate_ids"] == "1" and found["dtypes", "tags"] == "array<string>"
-    assert (found["range_low", "batch_year"], found["range_high", "batch_year"]) == ("2012", "2027")
+    assert found["invalid_values", "duplicate_ids"] == "2" and found["dtypes", "tags"] == "array<string>"
+    assert (found["range_low", "batch_year"], found["range_high", "batch_year"]) == ("2014", "2028")
 
 
 @pytest.fixture(scope="module")
@@ -188,16 +194,26 @@ def tables(spark, dirty):
 
 
 def test_star_schema(tables):
-    assert [r["batch"] for r in tables["batches"].orderBy("batch_id").collect()] == ["Winter 2012", "Summer 2027", "Unspecified"]
+    """One label with three kinds of white space is one cohort, and no entity is repeated."""
+    assert [r["batch"] for r in tables["batches"].orderBy("batch_id").collect()] == ["Fall 2014", "Winter 2028", "Harvest 12"]
+    assert tables["batches"].filter("batch = 'Fall 2014'").first()["year"] == 2014
     assert [r["place_raw"] for r in tables["locations"].orderBy("location_id").collect()] == [
-        "San Francisco, CA, USA", "Remote", "London, England, United Kingdom"]
+        "Lima, Lima Province, Peru", "remote", "Remote", "Oslo, Norway"]
     company = {r["company_id"]: r for r in tables["companies"].collect()}
-    assert len(company) == 6 and all(r["batch_id"] and r["industry_id"] for r in company.values())
-    assert company[3]["primary_location_id"] is None and company[4]["primary_location_id"] == 3
-    assert company[1]["is_operating"] == 1 and company[1]["launched_at"] == "2011-11-23"
+    assert tables["companies"].count() == len(company) == 7 and all(r["batch_id"] and r["industry_id"] for r in company.values())
+    assert company[33]["primary_location_id"] is None and company[34]["primary_location_id"] == 4
+    assert company[31]["is_operating"] == 1 and company[31]["launched_at"] == "2014-06-06"
     assert list(star.COMPANY_COLUMNS) == tables["companies"].columns and len(star.COMPANY_COLUMNS) == 23
     primaries = {r["company_id"]: r["s"] for r in tables["company_locations"].groupBy("company_id").agg(F.sum("is_primary").alias("s")).collect()}
-    assert primaries[4] == 1 and primaries[3] == 0 and 5 not in primaries
+    assert primaries[34] == 1 and primaries[33] == 0 and 36 not in primaries
+
+
+def test_a_label_stays_one_row_whatever_it_parses_to(spark, tables):
+    features = spark.createDataFrame(
+        [(1, "odd", "Fall", 2001, "F01", 200109, None, "complete"), (2, "odd", None, None, None, None, None, "unknown")],
+        "company_id long, batch string, batch_season string, batch_year int, batch_code string, batch_order int, batch_start date, batch_status string")
+    rows = star.batches(features).collect()
+    assert [(r["batch"], r["year"]) for r in rows] == [("odd", 2001)]
 
 
 def test_audit_finds_nothing_in_the_star_and_finds_planted_faults(spark, tables):
@@ -210,4 +226,4 @@ def test_audit_finds_nothing_in_the_star_and_finds_planted_faults(spark, tables)
     assert found == {("primary key", "company_id,tag"): 1, ("not null", "company_id"): 0, ("not null", "tag"): 1,
                      ("foreign key", "company_id"): 2}
     counts = {r["primaries"]: r["entities"] for r in audit.primary_counts(tables["company_locations"]).collect()}
-    assert counts == {1: 4, 0: 1}
+    assert counts == {1: 5, 0: 1}

@@ -18,8 +18,8 @@ def test_json_array_and_lines(spark, dirty, tmp_path):
     for lines in (False, True):
         path = write_raw(tmp_path / f"raw{lines}.json", dirty, lines)
         rows = files.read_records(spark, path, lines).orderBy("_order").collect()
-        assert [r["id"] for r in rows] == [r["id"] for r in dirty] and rows[4]["tags"] == ["AI", "Generative AI"]
-        assert files.read_record_text(spark, path, lines).count() == 7
+        assert [r["id"] for r in rows] == [r["id"] for r in dirty] and rows[3]["tags"] == ["Machine Learning", "Mills"]
+        assert files.read_record_text(spark, path, lines).count() == 9
     with pytest.raises(FileNotFoundError):
         files.read_records(spark, str(tmp_path / "none.json"))
 
@@ -73,20 +73,20 @@ def test_staging_uses_the_session_folder(spark):
 
 
 def test_whole_directory_job(spark, dirty, tmp_path):
-    raw = write_raw(tmp_path / "raw.json", [*dirty, *[record(i, batch=f"Winter {2006 + i % 15}", team_size=str(i % 9 + 1)) for i in range(20, 400)]])
+    raw = write_raw(tmp_path / "raw.json", [*dirty, *[record(i, batch=f"Winter {2006 + i % 15}", team_size=str(i % 9 + 1)) for i in range(40, 420)]])
     out = str(tmp_path / "out")
     first = {r["table"]: r["rows"] for r in directory_job.run(spark, raw, out, AS_OF).collect()}
     again = {r["table"]: r["rows"] for r in directory_job.run(spark, raw, out, AS_OF).collect()}
-    assert first == again and first["companies"] == 386 and first["company_tags"] == 387 and first["locations"] == 3
+    assert first == again and first["companies"] == 387 and first["company_tags"] == 388 and first["locations"] == 4
     assert directory_job.check(spark, out).filter("violations > 0").isEmpty()
     meta = files.read_sidecar(spark, f"{out}/dataset_meta")
-    assert meta["n_companies"] == 386 and len(meta["dataset_version"]) == 12
+    assert meta["n_companies"] == 387 and len(meta["dataset_version"]) == 12
     assert files.read_sidecar(spark, f"{out}/absent") == {}
-    assert spark.read.parquet(f"{out}/cleaning_log").filter("step = 'duplicate_ids'").first()["rows_affected"] == 1
+    assert spark.read.parquet(f"{out}/cleaning_log").filter("step = 'duplicate_ids'").first()["rows_affected"] == 2
     features = spark.read.parquet(f"{out}/features")
     table = forecast_job.run(features, f"{out}/backtest", f"{out}/runs", meta["dataset_version"])
     names = {r["series"] for r in table.collect()}
-    assert names == {"All companies", "B2B", "AI companies (broad)", "AI companies (tags only)"}
+    assert names == {"All companies", "Food", "AI companies (broad)", "AI companies (tags only)"}
     assert runlog.read_runs(spark, f"{out}/runs").count() == 4 * 5
     csv = files.read_csv(spark, f"{out}/backtest", table.schema)
     assert csv.count() == 20

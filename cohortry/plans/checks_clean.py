@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions import cohorts, flags, places, text
@@ -81,6 +81,41 @@ def roundtrip_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def json_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers written as JSON lines: as guarded records with their positions, and as text, counted per segment."""
+    customers = table(spark, sf, "customer")
+    path = staging_path(spark, "records")
+    customers.write.json(path)
+    rows = files.read_records(spark, path, lines=True, schema=customers.schema)
+    files.require_records(rows, "c_custkey")
+    texts = files.read_record_text(spark, path, lines=True).groupBy(F.get_json_object("value", "$.c_mktsegment").alias("c_mktsegment")).agg(
+        F.count("*").alias("texts"), F.sum(F.get_json_object("value", "$.c_custkey").cast("long")).alias("text_keys"))
+    counted = rows.groupBy("c_mktsegment").agg(
+        F.count("*").alias("n"), F.countDistinct("_order").alias("places"), F.count("_corrupt").alias("broken"), F.sum("c_custkey").alias("keys"))
+    return counted.join(texts, "c_mktsegment")
+
+
+def sidecar_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts on a table, written beside it as one document and read back as rows (name, value)."""
+    orders = table(spark, sf, "orders")
+    facts = orders.agg(F.count("*").alias("rows"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"),
+                       F.countDistinct("o_orderstatus").alias("statuses")).first().asDict()
+    path = staging_path(spark, "sidecar")
+    files.write_sidecar(spark, path, facts)
+    return spark.createDataFrame([(k, int(v)) for k, v in files.read_sidecar(spark, path).items()], "name string, value long")
+
+
+def sorted_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders written in total order of price and key: per file its rows, and how many files begin before an earlier one ends."""
+    path = staging_path(spark, "sorted")
+    files.write_sorted(table(spark, sf, "orders"), path, "o_totalprice", "o_orderkey")
+    key = F.struct("o_totalprice", "o_orderkey")
+    parts = files.read_parquet(spark, path).groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"), F.sum("o_orderkey").alias("keys"))
+    late = parts.withColumn("before", F.lag("high").over(Window.orderBy("file")))
+    return late.agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"), F.count_if(F.col("low") <= F.col("before")).alias("overlaps"))
+
+
 def load_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Rows per table after writing the six tables in order, twice (the second write replaces the first)."""
     features = stage(_features(spark, sf), "features")
@@ -302,6 +337,9 @@ QUERIES = {
     "json_key_counts": json_key_counts,
     "provenance_hash": provenance_hash,
     "roundtrip_files": roundtrip_files,
+    "json_records": json_records,
+    "sidecar_facts": sidecar_facts,
+    "sorted_files": sorted_files,
     "load_counts": load_counts,
     "validate_domain": validate_domain,
     "validate_verdict": validate_verdict,
@@ -531,6 +569,14 @@ ORACLES = {
         "SELECT source, count(*) AS rows, sum(strlen(text))::BIGINT AS bytes, "
         "printf('%012x', (sum(('0x' || substr(sha256(text), 1, 12))::BIGINT) % 281474976710656)::BIGINT) AS version "
         "FROM documents GROUP BY 1"),
+    "json_records": (
+        "SELECT c_mktsegment, count(*) AS n, count(*) AS places, count(*) - count(c_custkey) AS broken, sum(c_custkey)::BIGINT AS keys, "
+        "count(*) AS texts, sum(c_custkey)::BIGINT AS text_keys FROM customer GROUP BY 1"),
+    "sidecar_facts": (
+        "SELECT unnest(['rows', 'first', 'last', 'statuses']) AS name, unnest([count(*), min(o_orderkey), max(o_orderkey), "
+        "count(DISTINCT o_orderstatus)])::BIGINT AS value FROM orders"),
+    "sorted_files": (
+        "SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS keys, count(*) - count(o_totalprice) AS overlaps FROM orders"),
     "roundtrip_files": (
         "SELECT format, c_mktsegment, count(*) AS n, sum(c_custkey)::BIGINT AS keys, min(c_name) AS first_name, "
         "max(c_acctbal) AS top_balance FROM customer, "

@@ -47,6 +47,9 @@ SHAPES = {
     "phone": r"^[+(]?[0-9](?:[ ().-]{0,3}[0-9]){6,14}$",
 }
 
+# What a text must hold for a form to be worth trying.
+_HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "any": r"[0-9@]"}
+
 _BLOCK = 64
 _SPAN = "array<struct<start:int,end:int,hit:string>>"
 
@@ -75,7 +78,7 @@ def _located(df: DataFrame, text: str, forms: dict[str, str]) -> DataFrame:
     """Add, for each name, where its form matches from the left: code points, end exclusive."""
     names = list(forms)
     empty = F.expr("cast(array() as array<string>)")
-    hits = {f"_h_{n}": F.when(F.col(text).rlike(forms[n]), F.regexp_extract_all(text, F.lit(forms[n]), F.lit(0))).otherwise(empty) for n in names}
+    hits = {f"_h_{n}": F.when(F.col(text).rlike(_HINTS[n]), F.regexp_extract_all(text, F.lit(forms[n]), F.lit(0))).otherwise(empty) for n in names}
     df = df.withColumns(hits)
     # What stands before each match, by splitting at the matches.
     before = {n: F.slice(F.split(F.col(text), forms[n], -1), F.lit(1), F.size(f"_h_{n}")) for n in names}
@@ -112,16 +115,6 @@ def _passes(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-def _base(df: DataFrame, text: str) -> DataFrame:
-    """Add the spans of the four forms that pass their tests, as arrays named by kind with a leading underscore."""
-    df = _located(df, text, {f"_{k}": form for k, form in FORMS.items()})
-
-    def test(kind: str):
-        return lambda x: _passes(kind, x["hit"])
-
-    return df.withColumns({f"_{k}": F.filter(f"_{k}", test(k)) for k in KINDS if k != "email"})
-
-
 def _marks(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end")))
 
@@ -132,28 +125,48 @@ def _written(marks: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(marks), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
 
-def _instances(found: DataFrame) -> DataFrame:
+def _spans(rows: DataFrame) -> DataFrame:
+    """``_id, _key, base`` and ``tokens``: each identifier-like token with its place and the text around it.
+
+    One pass over the texts.  The result must be written before it is filtered:
+    a filter would be moved below and find everything anew.
+    """
+    found = _located(rows, "_text", FORMS | {"any": CANDIDATE})
+
+    def test(kind: str):
+        return lambda x: _passes(kind, x["hit"])
+
+    base = F.array_sort(reduce(F.concat, [_marks(k, F.filter(k, test(k))) for k in KINDS]))
+
+    def around(x: Column) -> Column:
+        low = F.greatest(F.lit(0), x["start"] - 60)
+        return F.struct(
+            x["start"].alias("start"), x["hit"].alias("hit"), F.lower(F.substring(F.col("_text"), low + 1, x["start"] - low)).alias("left"),
+            F.lower(F.substring(F.col("_text"), x["end"] + 1, F.lit(40))).alias("right"),
+        )
+
+    return found.select("_id", "_key", base.cast(_MARKS).alias("base"), F.transform("any", around).alias("tokens"))
+
+
+_MARKS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _instances(spans: DataFrame) -> DataFrame:
     """One row for each identifier-like token: its place, its normal form, the kind of the seed it is (or null), its contexts."""
-    seeds = F.flatten(F.array(*[_marks(k, F.col(f"_{k}")) for k in KINDS]))
-    rows = found.filter(F.size("_any") > 0).withColumn("_seeds", seeds)
-    rows = rows.select("_id", "_key", "_seeds", "_text", F.explode("_any").alias("c"))
+    rows = spans.select("_id", "_key", "base", F.explode("tokens").alias("c"))
     # Leading quotes and the like belong to the context; so does closing punctuation.
-    rows = rows.withColumn("hit", F.regexp_extract(F.col("c.hit"), r"^[\"'(<:]*(?=[^\"'(<:])", 0)).withColumn("start", F.col("c.start") + F.length("hit"))
-    rows = rows.withColumn("hit", F.regexp_replace(F.expr("substring(c.hit, length(hit) + 1)"), r"[^\w)]+$", ""))
+    ahead = F.length(F.regexp_extract("c.hit", r"^[\"'(<:]*(?=[^\"'(<:])", 0))
+    rows = rows.select("*", (F.col("c.start") + ahead).alias("start"), F.regexp_replace(F.substring(F.col("c.hit"), ahead + 1, F.length("c.hit")), r"[^\w)]+$", "").alias("hit"))
     rows = rows.filter(F.length("hit") > 0).withColumn("end", F.col("start") + F.length("hit"))
-    over = F.filter("_seeds", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    left = F.expr("substring(_text, greatest(1, start - 59), least(start, 60))")
-    right = F.expr("substring(_text, end + 1, 40)")
-    words = F.regexp_extract(F.lower(left), r"(\S+)\s+(\S+)\s*$", 0)
-    one = F.regexp_extract(F.lower(left), r"(\S+)\s*$", 0)
-    after = F.regexp_extract(F.lower(right), r"^\s*(\S+)", 0)
+    over = F.filter("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
+    words = F.regexp_extract("c.left", r"(\S+)\s+(\S+)\s*$", 0)
+    one = F.regexp_extract("c.left", r"(\S+)\s*$", 0)
+    after = F.regexp_extract("c.right", r"^\s*(\S+)", 0)
     return rows.select(
-        "_id", "_key", "start", "end", F.lower(F.regexp_replace("hit", r"\s+", " ")).alias("instance"), over.alias("over"),
-        F.array(F.concat(F.lit("2 "), F.trim(words)), F.concat(F.lit("w "), F.trim(one), F.lit(" _ "), F.trim(after))).alias("patterns"), F.col("hit"),
-    ).select(
-        "*", F.when(F.size("over") > 0, F.element_at("over", 1)["kind"]).alias("seed"),
+        "_id", "_key", "start", "end", F.lower(F.regexp_replace("hit", r"\s+", " ")).alias("instance"), F.get(over, F.lit(0))["kind"].alias("seed"),
+        F.array(F.concat(F.lit("2 "), F.trim(words)), F.concat(F.lit("w "), F.trim(one), F.lit(" _ "), F.trim(after))).alias("patterns"),
         F.array_compact(F.array(*[F.when(F.col("hit").rlike(SHAPES[k]), F.lit(i)) for i, k in enumerate(KINDS)])).alias("shapes"),
-    ).drop("over")
+    )
 
 
 def bootstrap(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -199,20 +212,16 @@ def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.col(id_column).alias("_id"), text.alias("_text")).withColumn("_key", F.xxhash64("_text"))
-    found = _located(_base(rows, "_text"), "_text", {"_any": CANDIDATE})
-    held = stage(
-        _instances(found), "identifiers"
-    )
-    base = _base(rows, "_text").select("_id", "_key", F.array_sort(reduce(F.concat, [_marks(k, F.col(f"_{k}")) for k in KINDS])).alias("base"))
+    spans = stage(_spans(rows), "spans")
+    held = stage(_instances(spans), "identifiers")
     revealed = bootstrap(held.select("instance", "seed", "shapes", "patterns"), rounds)
     added = (
         held.filter("seed is null").select("_id", "_key", "start", "end", "instance").join(revealed, "instance")
-        .groupBy(F.col("_id"), F.col("_key")).agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("added"))
+        .groupBy(F.col("_id").alias("_aid"), F.col("_key").alias("_akey"))
+        .agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).cast(_MARKS).alias("added"))
     )
-    added = added.select(F.col("_id").alias("_aid"), F.col("_key").alias("_akey"), "added")
-    joined = base.join(added, F.col("_id").eqNullSafe(F.col("_aid")) & (F.col("_key") == F.col("_akey")), "left").drop("_aid", "_akey")
-    kind = "array<struct<start:int,kind:int,end:int>>"
-    return joined.withColumn("base", F.col("base").cast(kind)).withColumn("added", F.coalesce(F.col("added").cast(kind), F.expr(f"cast(array() as {kind})")))
+    both = spans.select("_id", "_key", "base").join(added, F.col("_id").eqNullSafe(F.col("_aid")) & (F.col("_key") == F.col("_akey")), "left")
+    return both.select("_id", "_key", "base", F.coalesce("added", F.expr(f"cast(array() as {_MARKS})")).alias("added"))
 
 
 def report(found: DataFrame) -> DataFrame:

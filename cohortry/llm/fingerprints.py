@@ -179,7 +179,7 @@ def _neighbours(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(_FIRST)).cast("long").alias("place"), F.coalesce("text", F.lit("")).alias("text"))
     quantiles = [k / parts for k in range(1, parts)] or [0.5]
-    cuts = np.unique(np.array(rows.agg(F.percentile_approx("place", quantiles, 1000 * parts)).first()[0] or [], np.int64))
+    cuts = np.unique(np.array(rows.agg(F.percentile_approx("place", quantiles, 10_000 + 20 * parts)).first()[0] or [], np.int64))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -176,3 +176,22 @@ def without_hits(found: DataFrame) -> DataFrame:
     held = found.select(*columns, "text", "word_hits")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1])
     return held.mapInArrow(run, f"{kinds}, removed long")
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+CHECKING_SQL = f"""
+WITH items AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (
+    SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS win
+    FROM (SELECT item_id, w, least({WINDOW}, len(w)) AS size, unnest(range(1, len(w) - least({WINDOW}, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+texts AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+places AS (
+    SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS win
+    FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM texts, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+hits AS (SELECT doc_id, i, size, item_id FROM places JOIN windows USING (win, size)),
+hit_words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM hits)) GROUP BY 1),
+hit_items AS (
+    SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY 1)
+SELECT t.doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(x.n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+    coalesce(h.n, 0) > 0 AS contaminated
+FROM texts t LEFT JOIN hit_words h ON h.doc_id = t.doc_id LEFT JOIN hit_items x ON x.doc_id = t.doc_id"""

@@ -8,8 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import bpe, dac, decontaminate, fingerprints, language, licences, pii, quality, token_counts
-from cohortry.llm.jaccard import jaccard_components
+from cohortry.llm import bpe, dac, decontaminate, fingerprints, jaccard, language, licences, pii, quality, token_counts
 from cohortry.session import staging_path
 
 
@@ -34,7 +33,7 @@ def op3_line_crf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    return jaccard_components(_documents(spark, sf))
+    return jaccard.jaccard_components(_documents(spark, sf))
 
 
 def op5_licence_digests(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,5 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard": jaccard.CHECKING_SQL,
+    "op7_decontamination": decontaminate.CHECKING_SQL,
     "op5_licence_digests": licences.checking_sql(),
 }

@@ -10,7 +10,10 @@ probed in the rest by binary search in the partner's sorted set.
 
 Which lists count as long comes from exact counts over all documents; the table
 of the longest ones that tasks get has a fixed size bound.  Any such table gives
-the same result, since all sets are ordered by the same rule.
+the same result, since all sets are ordered by the same rule.  Two sets whose
+sizes are known need ``T = ceil(4 (m + n) / 9)`` shared shingles, so the first one
+they share stands at place ``n - T`` or before in both; other meetings are passed
+over.
 
 Equal sets are one class and stand in the lists once.  A list of many near
 copies never becomes all its pairs: each round compares a list's members with one
@@ -35,7 +38,7 @@ from cohortry.session import ship_package, stage, unstage
 WORDS = 5
 # A list with so many sets is long; of these, at most so many (the longest) are told to the tasks, 12 bytes each.
 LONG_LIST = 4
-LONG_LISTS = 1 << 20
+LONG_LISTS = 1 << 18
 # Rounds that compare each list with one member before the rest is compared in full.
 HUB_ROUNDS = 3
 
@@ -50,7 +53,7 @@ def merged_lists(n: np.ndarray | int):
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text."""
-    for lo, hi in slices(column):
+    for lo, hi in slices(column, 1 << 18):
         data, offsets = utf8(column.slice(lo, hi - lo))
         hashes, _, _, first = words(data, offsets, _WORD)
         five = runs(hashes, WORDS)
@@ -67,7 +70,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[list[pa.Array], pa.Array]]:
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[list[pa.Array], pa.Array]]:
     """Rows in blocks of bounded text: the other columns and the texts."""
     for batch in batches:
         texts = whole(batch.column(batch.num_columns - 1))
@@ -80,13 +83,13 @@ def _keys(sets: list[np.ndarray], seed: int) -> np.ndarray:
     return np.array([int(mix(x ^ np.uint64(seed)).sum()) for x in sets], np.uint64).view(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "k1", "k2", "merged"]
-    for (ids,), texts in _blocks(batches):
+def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The upper halves of each text's shingle hashes; counted instead of whole ones to halve what is shuffled."""
+    for _, texts in _blocks(batches):
         sets = list(shingle_sets(texts))
-        n = np.array([len(x) for x in sets], np.int64)
-        merged = _lists([x[: merged_lists(len(x))] for x in sets])
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(_keys(sets, 0)), pa.array(_keys(sets, 77)), merged], names)
+        tops = [(x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in sets]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*tops, np.zeros(0, np.int32)])))], ["tops"])
 
 
 def _ordered(long_keys: np.ndarray, long_sizes: np.ndarray):
@@ -108,8 +111,8 @@ def _ordered(long_keys: np.ndarray, long_sizes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (ids,), texts in _blocks(batches):
             sets = list(shingle_sets(texts))
-            n, key = pa.array([len(x) for x in sets], pa.int64()), pa.array(_keys(sets, 0))
-            yield pa.RecordBatch.from_arrays([ids, n, key, _lists([order(x) for x in sets])], ["doc_id", "n", "k1", "merged"])
+            n, keys = pa.array([len(x) for x in sets], pa.int64()), [pa.array(_keys(sets, seed)) for seed in (0, 77)]
+            yield pa.RecordBatch.from_arrays([ids, n, *keys, _lists([order(x) for x in sets])], ["doc_id", "n", "k1", "k2", "merged"])
 
     return run
 
@@ -162,10 +165,11 @@ def overlap(a: bytes, b: bytes) -> int:
 def _kept(test):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            total = batch.column("total").to_pylist()
-            kept = np.array([test(x, y, n) for x, y, n in zip(left, right, total, strict=True)], bool)
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(kept)) for k in ("a", "b", "total")], ["a", "b", "total"])
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                rows = zip(part.column("x").to_pylist(), part.column("y").to_pylist(), part.column("total").to_pylist(), strict=True)
+                kept = pa.array([test(x, y, n) for x, y, n in rows], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(kept) for k in ("a", "b", "total")], ["a", "b", "total"])
 
     return run
 
@@ -203,44 +207,49 @@ def _sizes_fit(n: Column, m: Column) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * 80)
 
 
+def _may_meet(n: Column, at: Column, m: Column, other_at: Column) -> Column:
+    """Whether sets of these sizes, which share the shingles at these places, can link with these as the first they share."""
+    least = F.ceil((n + m) * 4 / 9)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * 80) & (at <= n - least) & (other_at <= m - least)
+
+
 def _located(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return lists.withColumn("comp", F.col("rep"))
     named = labels.select(F.col("node").alias("rep"), "component")
-    return lists.join(named, "rep", "left").select("h", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    return lists.join(named, "rep", "left").select("h", "rep", "n", "at", F.coalesce("component", "rep").alias("comp"))
 
 
-def _hub_pairs(here: DataFrame, seed: int) -> DataFrame:
+def _hub_pairs(here: DataFrame, turn: int) -> DataFrame:
+    """Each list's members against one of them: first the one with least before the shared shingle, later any."""
+    order = F.struct(F.col("at") if turn == 0 else F.lit(0), F.xxhash64("rep", F.lit(turn)).alias("o"))
     hub = (
         here.groupBy("h")
-        .agg(F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("o"), "rep", "n", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        .agg(F.min(F.struct(order.alias("order"), "rep", "n", "at", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         .filter("lo <> hi").select("h", "hub")
     )
-    met = here.join(hub, "h").filter((F.col("comp") != F.col("hub.comp")) & _sizes_fit(F.col("n"), F.col("hub.n")))
+    fits = _may_meet(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"))
+    met = here.join(hub, "h").filter((F.col("comp") != F.col("hub.comp")) & fits)
     return met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
 
 
 def _rest_pairs(here: DataFrame) -> DataFrame:
-    """All pairs of different components within a list, one side outside the list's largest component."""
+    """All pairs of different components that may meet within a list, one side outside the list's largest component."""
     counts = here.groupBy("h", "comp").agg(F.count("*").alias("c"))
     main = counts.groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k")
     members = here.join(main, "h")
-    few = members.filter("comp <> main").select("h", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    met = members.join(few, "h").filter((F.col("comp") != F.col("other")) & _sizes_fit(F.col("n"), F.col("m")))
+    few = members.filter("comp <> main").select("h", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("at").alias("r_at"), F.col("comp").alias("other"))
+    met = members.join(few, "h").filter((F.col("comp") != F.col("other")) & _may_meet(F.col("n"), F.col("at"), F.col("m"), F.col("r_at")))
     return met.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct()
 
 
-def _tops(column: str) -> Column:
-    """The upper halves of the hashes; counted instead of whole ones to halve what is shuffled."""
-    return F.transform(column, lambda h: F.shiftright(h, 32).cast("int"))
-
-
-def long_lists(merged: DataFrame, least: int = LONG_LIST, most: int = LONG_LISTS) -> tuple[np.ndarray, np.ndarray]:
+def long_lists(tops: DataFrame, least: int = LONG_LIST, most: int = LONG_LISTS) -> tuple[np.ndarray, np.ndarray]:
     """The longest lists (upper halves of the shingle hashes, sorted) with their lengths; at most ``most`` are fetched."""
-    rows = merged.select(F.explode(_tops("merged")).alias("t")).groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") >= least).orderBy(F.desc("c"), "t").limit(most).toPandas()
-    keys = rows["t"].to_numpy(np.int32).view(np.uint32)
+    counts = tops.select(F.explode("tops").alias("t")).groupBy("t").agg(F.count("*").alias("c"))
+    rows = counts.filter(F.col("c") >= least).orderBy(F.desc("c"), "t").limit(most).toArrow()
+    keys = rows["t"].to_numpy().astype(np.int32).view(np.uint32)
     order = np.argsort(keys)
-    return keys[order], rows["c"].to_numpy(np.int64)[order]
+    return keys[order], rows["c"].to_numpy()[order]
 
 
 def jaccard_components(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
@@ -254,40 +263,40 @@ def jaccard_components(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFra
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select("doc_id", "text")
-    sketch = stage(docs.mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, merged array<long>"), "sketch")
-    classes = sketch.filter("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    ids = stage(
-        sketch.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
-        .select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "classes"
-    )
-    reps = ids.filter("n > 0 and doc_id = rep").select("doc_id").distinct()
-    keys, sizes = long_lists(sketch)
-    told = spark.sparkContext.broadcast((keys, sizes))
-    unstage(sketch)
+    told = spark.sparkContext.broadcast(long_lists(docs.mapInArrow(_tops, "tops array<int>")))
 
     def ordered(batches):
         return _ordered(*told.value)(batches)
 
-    ahead = docs.mapInArrow(ordered, "doc_id long, n long, k1 long, merged array<long>")
-    merged = stage(ahead.join(reps.hint("merge"), "doc_id").dropDuplicates(["doc_id", "n", "k1"]), "merged")
-    shared = stage(merged.select(F.explode(_tops("merged")).alias("t")).groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").select("t"), "shared")
+    merged = stage(docs.mapInArrow(ordered, "doc_id long, n long, k1 long, k2 long, merged array<long>"), "merged")
+    classes = merged.filter("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
+    ids = stage(
+        merged.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
+        .select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "classes"
+    )
+    repeated = ids.count() > ids.select("doc_id").distinct().count()
+    reps = ids.filter("n > 0 and doc_id = rep").select("rep").distinct()
+    tops = F.explode(F.transform("merged", lambda h: F.shiftright(h, 32).cast("int"))).alias("t")
+    shared = stage(merged.select(tops).groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").select("t"), "shared")
     met = spark.sparkContext.broadcast(sieve(shared))
 
     def lists_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("merged")
-            h = column.flatten().to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+            h, sizes = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            at = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             kept = passes(met.value, h >> np.int64(32))
             rows = pa.array(row[kept])
-            yield pa.RecordBatch.from_arrays([pa.array(h[kept]), batch.column("doc_id").take(rows), batch.column("n").take(rows)], ["h", "rep", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[kept]), batch.column("doc_id").take(rows), batch.column("n").take(rows), pa.array(at[kept])], ["h", "rep", "n", "at"])
 
-    rows = merged.select("doc_id", "n", "merged").mapInArrow(lists_met, "h long, rep long, n long").withColumn("t", F.shiftright("h", 32).cast("int"))
-    lists = stage(rows.join(shared, "t").select("h", "rep", "n"), "lists")
+    rows = merged.filter("doc_id is not null").select("doc_id", "n", "merged").mapInArrow(lists_met, "h long, rep long, n long, at long")
+    rows = rows.withColumn("t", F.shiftright("h", 32).cast("int")).join(shared, "t").join(reps, "rep").select("h", "rep", "n", "at")
+    lists = stage(rows.distinct() if repeated else rows, "lists")
     unstage(merged, shared)
     members = spark.sparkContext.broadcast(sieve(lists.select("rep")))
     sets = stage(docs.mapInArrow(lambda batches: _whole_sets(members.value, batches), "rep long, n long, k1 long, bits binary, shingles binary"), "sets")
-    if ids.count() > ids.select("doc_id").distinct().count():  # repeated rows would multiply in the joins
+    if repeated:  # its copies would multiply in the joins
         once = stage(sets.dropDuplicates(["rep", "n", "k1"]), "sets")
         unstage(sets)
         sets = once
@@ -313,3 +322,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = jaccard_components(docs)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
+
+
+CHECKING_SQL = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM texts WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT t.doc_id, coalesce(n, 0) AS n_shingles, least(t.doc_id, coalesce(r.low, t.doc_id)) AS component_id
+FROM texts t LEFT JOIN sizes ON sizes.doc_id = t.doc_id LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY 1) r ON r.a = t.doc_id"""

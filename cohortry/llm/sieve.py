@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cohortry.llm.bytes import mix
 
@@ -30,10 +31,9 @@ def sieve(keys: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array(values.view(np.int64))], ["place", "bits"])
 
     name = keys.columns[0]
-    found = keys.filter(f"`{name}` is not null").mapInArrow(words, "place int, bits long").groupBy("place").agg({"bits": "bit_or"}).toPandas()
+    found = keys.filter(f"`{name}` is not null").mapInArrow(words, "place int, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros((1 << BITS) // 64, np.uint64)
-    if len(found):
-        out[found.iloc[:, 0].to_numpy(np.int64)] = found.iloc[:, 1].to_numpy(np.int64).view(np.uint64)
+    out[found["place"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
 
 

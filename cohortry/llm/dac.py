@@ -14,6 +14,8 @@ order of segments, which is the ascending order of ``doc_id``.
 from __future__ import annotations
 
 import functools
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +34,7 @@ BLOCK = 512
 # A segment is closed when it holds so many tokens (a longer document is one segment).
 SEGMENT_TOKENS = 1 << 20
 # What a task remembers of the tokens of distinct words, twice over.
-MOST_WORDS = 150_000
+MOST_WORDS = 350_000
 
 SEGMENT = "bucket int, part int, n_docs long, n_tokens long, doc_ids binary, sizes binary, code array<binary>"
 _ROW = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()),
@@ -86,10 +88,19 @@ _ODD = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 
+def _parts(word: str) -> tuple[str, ...]:
+    """A closing mark after a letter or digit is a token run of its own; case does not matter to the tokenizer."""
+    # As the tokenizer sees it, normalised and in lower case, some letters end in a mark that would join what follows.
+    if len(word) > 1 and word[-1] in ".,;:!?" and unicodedata.normalize("NFC", word[-2]).lower().isalnum():
+        return (*_parts(word[:-1]), word[-1])
+    return (word.lower() if word.isascii() else word,)
+
+
 class WordEncoder:
-    """A tokenizer that drops white space and splits there, so each word between spaces is encoded once and remembered."""
+    """A tokenizer that drops case and white space and splits there, so each word between spaces is encoded once and remembered."""
 
     def __init__(self, tokenizer: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(tokenizer)
@@ -102,17 +113,18 @@ class WordEncoder:
         split = [_SPACE.split(text) if _ODD.search(text) else text.split() for text in texts]
         if len(self._known) > MOST_WORDS:
             self._older, self._known = self._known, {}
-        known, older = self._known, self._older
-        new = []
-        for word in set().union(*split):
-            if word not in known:
-                found = older.get(word)
-                if found is None:
-                    new.append(word)
-                else:
-                    known[word] = found
-        for word, found in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        known, older, new = self._known, self._older, {}
+        for word in set().union(*split).difference(known):
+            found = older.get(word)
+            if found is None:
+                new[word] = _parts(word)
+            else:
+                known[word] = found
+        plain = list({part for parts in new.values() for part in parts}.difference(known))
+        for word, found in zip(plain, self._tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
             known[word] = np.array(found.ids, "<u4").tobytes()
+        for word, parts in new.items():
+            known[word] = b"".join([known[part] for part in parts])
         last = np.array([end], "<u4").tobytes()
         return [b"".join([known[word] for word in words]) + last for words in split]
 
@@ -134,7 +146,8 @@ def write(docs: DataFrame, tokenizer: str, end: int, path: str) -> None:
     """Encode ``docs`` (``doc_id``, ``text``) and write segments in ascending ``doc_id`` order to ``path``.
 
     ``tokenizer`` is the tokenizer's JSON, at most a few MB whatever the input.
-    It must drop white space and never join what white space divides.  Texts are
+    It must drop case and white space, never join what white space divides, and
+    keep a closing mark apart from the letters before it.  Texts are
     shuffled once, by range of ``doc_id``.  Null texts are empty and get the end
     id alone; null ids come first; equal ids follow each other by text.
     """

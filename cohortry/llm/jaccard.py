@@ -308,8 +308,6 @@ def jaccard_components(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFra
         found = _probe(pairs, sets)
         if not found.isEmpty():
             labels = components(found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        elif labels is None:
-            break
     unstage(sets, lists)
     if labels is None:
         return ids.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"))

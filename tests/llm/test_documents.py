@@ -114,6 +114,40 @@ def test_large_groups_lose_no_link(spark, rounds):
     assert found_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hub_rounds=rounds) == brute_components(rows)
 
 
+def one_shared_list():
+    """Texts of nine shingles each: a, b and c are merged in one common list only, where it stands first; b and c link, a with nobody."""
+    import pyarrow as pa
+
+    from cohortry.llm.jaccard import shingle_sets
+
+    rng = random.Random(11)
+
+    def merged(words):
+        return next(shingle_sets(pa.array([" ".join(words)])))[: merged_lists(9)].tolist()
+
+    while True:
+        base = [f"v{rng.randrange(10**6)}" for _ in range(12)]
+        near = [[*base, f"z{k}"] for k in range(60)]
+        firsts = [merged(words) for words in near]
+        hot = next(shingle_sets(pa.array([" ".join(base)])))[0]
+        alone = [words for words, (first, second) in zip(near, firsts, strict=True) if first == hot and sum(second in f for f in firsts) == 1]
+        if len(alone) >= 2:
+            break
+    five = next(words for k in range(8) if next(shingle_sets(pa.array([" ".join(words := base[k : k + 5])])))[0] == hot)
+    other = next(words for k in range(1000) if merged(words := [*five, *[f"y{k}x{j}" for j in range(8)]])[0] == hot)
+    return [" ".join(words) for words in (other, *alone[:2])]
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_a_hub_without_links_does_not_end_the_search(spark, rounds):
+    """The first hub of the only common list links with nobody, two other members do."""
+    ids = [r["i"] for r in spark.range(3).select(F.col("id").alias("i")).orderBy(F.xxhash64("i", F.lit(0))).collect()]
+    rows = list(zip(ids, one_shared_list(), strict=True))
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) == 2
+    assert found_components(spark.createDataFrame(rows, "doc_id long, text string"), hub_rounds=rounds) == want
+
+
 def test_component_operator_on_odd_rows(odd, nothing):
     found = jaccard_components(odd).collect()
     assert len(found) == 15

@@ -3,9 +3,12 @@
 The fixed forms are seeds.  Every token that looks like an identifier (it holds
 a digit or an at sign) is an instance; the words around it are its patterns.
 Rounds alternate: a pattern is trusted for a kind when it stands beside enough
-different known instances of that kind and beside little else, and an unknown
+different known instances of that kind and beside little that contradicts it
+(seeds of another kind, tokens that do not have the kind's shape), and an unknown
 instance of a fitting shape is accepted when its trusted patterns leave little
-doubt.  Both sides are tables that are counted, joined and written each round.
+doubt.  Unknown instances of a fitting shape speak neither for nor against a
+pattern.  Rounds go on until one adds nothing.  Both sides are tables that are
+counted, joined and written each round.
 """
 
 from __future__ import annotations
@@ -18,8 +21,7 @@ from pyspark.sql import functions as F
 from cohortry.session import stage, unstage
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
-# A pattern needs so many different known instances and this share of all its instances; an instance needs this score.
+# A pattern needs so many different known instances and this share of known and contradicting ones; an instance needs this score.
 LEAST_SUPPORT = 3.0
 LEAST_SHARE = 0.8
 LEAST_SCORE = 0.8
@@ -48,7 +50,7 @@ SHAPES = {
 }
 
 # What a text must hold for a form to be worth trying.
-_HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "any": r"[0-9@]"}
+_HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "any": r"[0-9@]|[\[(]at[\])]"}
 
 _BLOCK = 64
 _SPAN = "array<struct<start:int,end:int,hit:string>>"
@@ -169,24 +171,28 @@ def _instances(spans: DataFrame) -> DataFrame:
     )
 
 
-def bootstrap(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(tokens: DataFrame, rounds: int | None = None) -> DataFrame:
     """``instance, kind`` of the identifiers that contexts reveal, from ``instance, seed, shapes, patterns``.
 
     The graph's edges are distinct (pattern, instance) pairs, counted before
     anything is joined, so a pattern or instance that fills a third of all rows
-    is small.  Seeds are known from the start and never lost.
+    is small.  Seeds are known from the start and never lost; an instance keeps
+    the kind it is accepted for.  Each round adds an instance or is the last one;
+    ``rounds`` ends them sooner.
     """
     edges = stage(
         tokens.select(F.explode("patterns").alias("pattern"), "instance", "seed", "shapes").filter(F.length("pattern") > 2)
         .groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("shapes").alias("shapes")), "edges"
     )
-    totals = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    contradicts = [F.coalesce(F.col("seed") != i, ~F.array_contains("shapes", i)) for i in range(len(KINDS))]
+    against = edges.groupBy("pattern").agg(F.array(*[F.count_if(c) for c in contradicts]).alias("against"))
     known = stage(edges.filter("seed is not null").select("instance", F.col("seed").alias("kind")).distinct(), "known")
-    seeds = known
-    for _ in range(rounds):
+    seeds, done = known, 0
+    while rounds is None or done < rounds:
         held = edges.select("pattern", "instance").join(known, "instance").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("s"))
-        trusted = held.filter(F.col("s") >= LEAST_SUPPORT).join(totals, "pattern").filter(F.col("s") >= F.col("n") * LEAST_SHARE)
-        trusted = trusted.select("pattern", "kind", (F.col("s") / F.col("n") * F.col("s") / (F.col("s") + 0.5)).alias("trust"))
+        share = F.col("s") / (F.col("s") + F.get("against", F.col("kind")))
+        trusted = held.filter(F.col("s") >= LEAST_SUPPORT).join(against, "pattern").filter(share >= LEAST_SHARE)
+        trusted = trusted.select("pattern", "kind", (share * F.col("s") / (F.col("s") + 0.5)).alias("trust"))
         open_edges = edges.filter("seed is null").filter(F.size("shapes") > 0)
         doubt = F.exp(F.sum(F.log(1 - F.least(F.col("trust"), F.lit(0.999)))))
         fresh = (
@@ -194,16 +200,19 @@ def bootstrap(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             .groupBy("instance", "kind").agg((1 - doubt).alias("score")).filter(F.col("score") >= LEAST_SCORE)
         )
         best = fresh.groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
-        after = stage(seeds.unionByName(best.join(seeds, "instance", "left_anti")), "known")
-        if known is not seeds:
-            unstage(known)
-        known = after
+        best = stage(best.join(known, "instance", "left_anti"), "fresh")
+        if best.isEmpty():
+            unstage(best)
+            break
+        after = stage(known.unionByName(best), "known")
+        unstage(best, *([known] if known is not seeds else []))
+        known, done = after, done + 1
     found = stage(known.join(seeds, "instance", "left_anti"), "found")
     unstage(edges, seeds, *([known] if known is not seeds else []))
     return found
 
 
-def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rounds: int | None = None) -> DataFrame:
     """One row per row of ``docs``: ``_id, _key, base, added``, both arrays of (start, kind, end) in order.
 
     ``_key`` is a hash of the text; rows equal in id and text get equal spans.

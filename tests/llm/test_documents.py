@@ -382,6 +382,31 @@ def test_contexts_reveal_unseen_identifiers(spark):
     assert not any(found[k][1] for k in range(13, len(texts)))
 
 
+def test_unseen_identifiers_do_not_speak_against_a_context(spark):
+    """As many unseen as seen identifiers in a context; a context beside other tokens teaches nothing."""
+    calls = [f"if so call us on +1 (555) 010-{1000 + k} today" for k in range(5)] + [f"if so call us on 555 010 {7000 + k} today" for k in range(5)]
+    mails = [f"for more write to person{c}@example.org or visit" for c in "abcde"] + [f"for more write to person{c} [at] example [dot] org or visit" for c in "vwxyz"]
+    mixed = [f"this costs about +1 (555) 020-{1000 + k} units" for k in range(5)] + [f"this costs about {n} units" for n in ("9a", "8b", "555 020 7000")]
+    texts = [*calls, *mails, *mixed]
+    found = {i: (b, a) for i, b, a in spans_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))}
+    for k, text in enumerate(calls[5:], 5):
+        assert found[k] == ([], [(text.index("555"), 3, text.index(" today"))])
+    for k, text in enumerate(mails[5:], 15):
+        assert found[k] == ([], [(text.index("person"), 0, text.index(" or visit"))])
+    assert all(len(found[k][0]) == 1 and not found[k][1] for k in (*range(5), *range(10, 15), *range(20, 25)))
+    assert not any(found[k][1] for k in range(25, len(texts)))
+
+
+def test_rounds_go_on_until_one_adds_nothing(spark):
+    """Each context shares its known numbers with the one before only, so every further context takes a round of its own."""
+    words = "amber birch cedar delta ember".split()
+    levels = [[f"+1 (555) 010-{1000 + k}" for k in range(3)]] + [[f"555 010 {7000 + 10 * level + k}" for k in range(3)] for level in range(len(words))]
+    texts = [f"the {word} line {number} {word} end" for word, *both in zip(words, levels, levels[1:]) for part in both for number in part]
+    found = spans_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for doc_id, base, added in found:
+        assert len(base) + len(added) == 1 and len(base) == ("+1" in texts[doc_id])
+
+
 def test_masking(spark, odd, nothing):
     text = "Call +1 (555) 010-1234 or ann@example.org, 10.0.0.1; card 4111 1111 1111 1111."
     df = spark.createDataFrame([(1, text, 3), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")

@@ -88,12 +88,19 @@ _ODD = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 
-def _parts(word: str) -> tuple[str, ...]:
-    """A closing mark after a letter or digit is a token run of its own; case does not matter to the tokenizer."""
+def _parts(word: str, added: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """A closing mark after a letter or digit is a token run of its own; case does not matter to the tokenizer.
+
+    ``added`` are the added tokens' contents in lower case: the tokenizer finds these before it drops case, so a word
+    that holds one in any case is left as it is.
+    """
+    lower = word.lower()
+    if any(content in lower for content in added):
+        return (word,)
     # As the tokenizer sees it, normalised and in lower case, some letters end in a mark that would join what follows.
     if len(word) > 1 and word[-1] in ".,;:!?" and unicodedata.normalize("NFC", word[-2]).lower().isalnum():
         return (*_parts(word[:-1]), word[-1])
-    return (word.lower() if word.isascii() else word,)
+    return (lower if word.isascii() else word,)
 
 
 class WordEncoder:
@@ -104,7 +111,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(tokenizer)
-        self._tokenizer.encode_special_tokens = True
+        self._added = tuple({x.content.lower() for x in self._tokenizer.get_added_tokens_decoder().values()})
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
@@ -117,7 +124,7 @@ class WordEncoder:
         for word in set().union(*split).difference(known):
             found = older.get(word)
             if found is None:
-                new[word] = _parts(word)
+                new[word] = _parts(word, self._added)
             else:
                 known[word] = found
         plain = list({part for parts in new.values() for part in parts}.difference(known))
@@ -147,7 +154,9 @@ def write(docs: DataFrame, tokenizer: str, end: int, path: str) -> None:
 
     ``tokenizer`` is the tokenizer's JSON, at most a few MB whatever the input.
     It must drop case and white space, never join what white space divides, and
-    keep a closing mark apart from the letters before it.  Texts are
+    keep a closing mark apart from the letters before it.  Its added tokens (those
+    with an entry of their own, such as an end mark) are found as the library does
+    by default, wherever a text holds their content.  Texts are
     shuffled once, by range of ``doc_id``.  Null texts are empty and get the end
     id alone; null ids come first; equal ids follow each other by text.
     """

@@ -273,6 +273,20 @@ def test_token_codes_of_odd_rows(spark, odd, nothing, tmp_path, monkeypatch):
         check_codes(texts_of(df), dac.checksums(dac.read(dac.segments(spark, str(tmp_path / name)))))
 
 
+def test_added_tokens_are_found_as_the_library_does(spark, tmp_path):
+    """Texts that hold the added tokens' contents, against the library as it comes."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = [
+        "a <|endoftext|> b", "a <|startoftext|>b, C", "x<|endoftext|>. y", "Word<|endoftext|>Word! <|endoftext|>", "<|ENDOFTEXT|> <|EndOfText|>x.",
+        "<|startoftext|><|endoftext|>", "<|endoftext|>é. <|endoftext|>\u0301?", "<| endoftext|> <|endoftext|", "plain words, no marks.", "A <|ENDOFTEXT|> a <|endoftext|>",
+    ]
+    dac.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), open(path, encoding="utf-8").read(), 1, str(tmp_path / "added"))
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in dac.read(dac.segments(spark, str(tmp_path / "added"))).collect()}
+    assert got == {k: [*library.encode(text, add_special_tokens=False).ids, 1] for k, text in enumerate(texts)}
+    assert got[0] == [320, 49407, 321, 1]
+
+
 def test_trie_counts_match_plain_search(spark, odd, nothing):
     scores = token_counts.zipf_scores(public_tokenizers.path("piece_bpe_32k.model"))
     longest = max(map(len, scores))

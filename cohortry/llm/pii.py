@@ -43,7 +43,7 @@ CANDIDATE = (
     rf"(?:\G|(?<!\S))(?:[\"'(<:]*+)(?:{_LOCAL}++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)*+|\+?[(]?[0-9][0-9 ().-]{{5,40}}[0-9](?!\w)|[^\s0-9@]*+[0-9@]\S*+)"
 )
 SHAPES = {
-    "email": rf"^{_LOCAL}+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*$",
+    "email": rf"^{_LOCAL}++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)*+$",  # possessive: a host of a million labels needs no stack
     "ip": r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7})$",
     "card": r"^[0-9](?:[ .-]?[0-9]){11,18}$",
     "phone": r"^[+(]?[0-9](?:[ ().-]{0,3}[0-9]){6,14}$",
@@ -52,28 +52,32 @@ SHAPES = {
 # What a text must hold for a form to be worth trying.
 _HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "any": r"[0-9@]|[\[(]at[\])]"}
 
-_BLOCK = 64
+_BLOCK = 128
+_CHUNK = 512
 _SPAN = "array<struct<start:int,end:int,hit:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once; a plain expression would be worked out anew inside every lambda that names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _running(values: Column, join) -> Column:
-    """Running sums or maxima of an array of ints, in blocks so that long arrays do not cost their square.
+    """Running sums or maxima of an array of ints, in blocks so that long arrays do not cost their square."""
 
-    ``values`` must be a plain column, not an expression.
-    """
     def fold(a: Column) -> Column:
         return F.aggregate(a, F.lit(0), join)
 
-    blocks = F.sequence(F.lit(0), F.ceil((F.size(values) - 1) / F.lit(_BLOCK)).cast("int"))
-    totals = F.transform(blocks, lambda b: fold(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK))))
-    inner = F.transform(
-        blocks,
-        lambda b: F.transform(
-            F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)),
-            lambda _, i: join(fold(F.slice(totals, F.lit(1), b)), fold(F.slice(values, b * _BLOCK + 1, i + 1))),
-        ),
-    )
-    return F.when(F.size(values) > 0, F.flatten(inner)).otherwise(F.expr("cast(array() as array<int>)"))
+    def of_blocks(parts: Column) -> Column:
+        ahead = _let(F.transform(parts, fold), lambda totals: F.transform(totals, lambda _, b: fold(F.slice(totals, F.lit(1), b))))
+        return F.flatten(F.zip_with(parts, ahead, lambda part, start: F.transform(part, lambda _, i: join(start, fold(F.slice(part, F.lit(1), i + 1))))))
+
+    def blocks(v: Column) -> Column:
+        count = F.ceil((F.size(v) - 1) / F.lit(_BLOCK)).cast("int")
+        return F.transform(F.sequence(F.lit(0), count), lambda b: F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+    whole = _let(values, lambda v: _let(blocks(v), of_blocks))
+    return F.when(F.size(values) > 0, whole).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 def _located(df: DataFrame, text: str, forms: dict[str, str]) -> DataFrame:
@@ -140,12 +144,18 @@ def _spans(rows: DataFrame) -> DataFrame:
 
     base = F.array_sort(reduce(F.concat, [_marks(k, F.filter(k, test(k))) for k in KINDS]))
 
+    # Contexts are cut from short chunks: a cut from the whole text would walk it from its start for every token.
+    chunks = F.when(F.size("any") > 0, F.regexp_extract_all("_text", F.lit(rf"(?s).{{1,{_CHUNK}}}"), F.lit(0)))
+    found = found.withColumn("_chunks", chunks)
+
+    def cut(start: Column, size: Column) -> Column:
+        place = F.floor(start / _CHUNK).cast("int")
+        two = F.concat(F.coalesce(F.get("_chunks", place), F.lit("")), F.coalesce(F.get("_chunks", place + 1), F.lit("")))
+        return F.lower(F.substring(two, start - place * _CHUNK + 1, size))
+
     def around(x: Column) -> Column:
         low = F.greatest(F.lit(0), x["start"] - 60)
-        return F.struct(
-            x["start"].alias("start"), x["hit"].alias("hit"), F.lower(F.substring(F.col("_text"), low + 1, x["start"] - low)).alias("left"),
-            F.lower(F.substring(F.col("_text"), x["end"] + 1, F.lit(40))).alias("right"),
-        )
+        return F.struct(x["start"].alias("start"), x["hit"].alias("hit"), cut(low, x["start"] - low).alias("left"), cut(x["end"], F.lit(40)).alias("right"))
 
     return found.select("_id", "_key", base.cast(_MARKS).alias("base"), F.transform("any", around).alias("tokens"))
 
@@ -247,23 +257,29 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in brackets and ``n_chars`` recounted if there; overlapping spans become one."""
+    """``docs`` with every span of ``text`` replaced by its kind in brackets and ``n_chars`` recounted if there; overlapping spans become one.
+
+    Rows meet their spans by id and text hash.  The columns of ``docs`` travel in one struct, so none of their names can
+    clash with one used here; an empty table gives an empty one.
+    """
     marks = found.select(
         F.col("_id"), F.col("_key"), F.array_sort(F.concat("base", "added")).alias("_marks")
     ).filter(F.size("_marks") > 0).dropDuplicates(["_id", "_key"])
-    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    rows = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    text = F.col("_row")["text"]
+    rows = rows.withColumn("_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
+    rows = rows.join(marks, F.col("_row")["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left")
     rows = rows.withColumn("_ends", F.coalesce(F.transform("_marks", lambda x: x["end"]), F.expr("cast(array() as array<int>)")))
     rows = rows.withColumn("_reach", _running(F.col("_ends"), lambda a, b: F.greatest(a, b)))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     since = F.concat(F.array(F.lit(0)), F.col("_reach"))
     parts = F.zip_with(
         "_marks", F.slice(since, F.lit(1), F.size("_marks")),
-        lambda x, at: F.when(x["start"] >= at, F.concat(F.substring(F.col("text"), at + 1, x["start"] - at), F.get(names, x["kind"]))).otherwise(""),
+        lambda x, at: F.when(x["start"] >= at, F.concat(F.substring(text, at + 1, x["start"] - at), F.get(names, x["kind"]))).otherwise(""),
     )
-    tail = F.expr("substring(text, element_at(_reach, -1) + 1)")
-    text = F.when(F.size("_ends") > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
+    tail = F.substring(text, F.element_at("_reach", -1) + 1, F.length(text))
+    put = rows.withColumn("_text", F.when(F.size("_ends") > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(text))
+    new = {c: F.col("_row")[c] for c in docs.columns} | {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("_ends") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(F.size("_ends") > 0, F.length("_text").cast("long")).otherwise(new["n_chars"])
+    return put.select(*[value.alias(c) for c, value in new.items()])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import bpe, dac, decontaminate, fingerprints, jaccard, language, licences, pii, quality, token_counts
+from cohortry.llm import bpe, dac, decontaminate, fingerprints, jaccard, language, licences, merkle, pii, quality, token_counts
 from cohortry.session import staging_path
 
 
@@ -69,6 +69,10 @@ def op10_rank_order_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", language.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.report(merkle.proofs(merkle.build(_documents(spark, sf), merkle.tampered_leaf())))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consistent_parsing": op1_consistent_parsing,
     "op2_bootstrapped_pii": op2_bootstrapped_pii,
@@ -80,10 +84,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_trie_token_counts": op9_trie_token_counts,
     "op10_rank_order_language": op10_rank_order_language,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op4_ngram_jaccard": jaccard.CHECKING_SQL,
     "op7_decontamination": decontaminate.CHECKING_SQL,
     "op5_licence_digests": licences.checking_sql(),
+    "op12_merkle_manifest": merkle.CHECKING_SQL,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import bpe, dac, decontaminate, fingerprints, jaccard, language, licences, merkle, pii, quality, token_counts
+from cohortry.llm import bpe, dac, decontaminate, fingerprints, jaccard, language, lexical, licences, merkle, pii, quality, token_counts
 from cohortry.session import staging_path
 
 
@@ -73,6 +73,10 @@ def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.report(merkle.proofs(merkle.build(_documents(spark, sf), merkle.tampered_leaf())))
 
 
+def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(_documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consistent_parsing": op1_consistent_parsing,
     "op2_bootstrapped_pii": op2_bootstrapped_pii,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_trie_token_counts": op9_trie_token_counts,
     "op10_rank_order_language": op10_rank_order_language,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -92,4 +97,5 @@ ORACLES: dict[str, str] = {
     "op7_decontamination": decontaminate.CHECKING_SQL,
     "op5_licence_digests": licences.checking_sql(),
     "op12_merkle_manifest": merkle.CHECKING_SQL,
+    "op13_ranked_search": lexical.CHECKING_SQL,
 }

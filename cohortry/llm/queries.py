@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import bpe, dac, decontaminate, fingerprints, jaccard, language, lexical, licences, merkle, pii, quality, token_counts
+from cohortry.llm import bpe, dac, decontaminate, fingerprints, jaccard, language, lexical, licences, merkle, pages, pii, quality, token_counts
 from cohortry.session import staging_path
 
 
@@ -69,6 +69,10 @@ def op10_rank_order_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", language.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_template_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.extract(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.report(merkle.proofs(merkle.build(_documents(spark, sf), merkle.tampered_leaf())))
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_trie_token_counts": op9_trie_token_counts,
     "op10_rank_order_language": op10_rank_order_language,
+    "op11_template_extraction": op11_template_extraction,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_ranked_search": op13_ranked_search,
 }

@@ -25,7 +25,6 @@ RUN = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 # The tree over the subtrees' roots.
 TOP = -1
-_ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 
 
 @dataclass
@@ -182,14 +181,18 @@ SELECT tree, run, folded, proof, subroot, root FROM climb WHERE up_tree IS NULL
 
 
 @contextmanager
-def _unlimited(spark: SparkSession) -> Iterator[None]:
-    """No limit on the rows of a recursive query, whose default would end large inputs; the levels end by themselves."""
-    old = spark.conf.get(_ROW_LIMIT, None)
-    spark.conf.set(_ROW_LIMIT, "-1")
+def _recursion(spark: SparkSession) -> Iterator[None]:
+    """No limit on the rows of a recursive query, whose default would end large inputs (the levels end by themselves), and no
+    coalescing: the query's rows come in as many partitions as its largest step, which small steps would make one."""
+    put = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {key: spark.conf.get(key, None) for key in put}
+    for key, value in put.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(_ROW_LIMIT) if old is None else spark.conf.set(_ROW_LIMIT, old)
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def proofs(made: Manifest) -> DataFrame:
@@ -211,7 +214,7 @@ def proofs(made: Manifest) -> DataFrame:
     folded = F.transform("used", lambda u, i: _digest(F.concat(hexed(F.slice("kids", F.lit(1), i)), _hex(u), hexed(F.slice("kids", i + 2, F.lit(RUN))))))
     start = start.withColumn("folded", F.when(F.col("n") > 1, folded).otherwise(F.col("used")))
     start = start.select("tree", "run", "n", "digest", "up_tree", "up_level", "up_run", "up_at", "folded")
-    with _unlimited(spark):
+    with _recursion(spark):
         climbed = stage(spark.sql(_CLIMB, start=start, nodes=made.nodes, run=RUN, top=TOP, copies=made.copies), "merkle-climbs")
     rows = made.runs.select("tree", "run", "leaves").withColumn("kids", every).join(climbed, ["tree", "run"])
     each = rows.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.operators import learners, scoring, splits
+from cohortry.operators import forest, learners, scoring, splits
 from cohortry.operators.metrics import rounded
 from cohortry.plans import outcome_job
 from cohortry.plans.bindings import cohort_view, table, with_cohort
@@ -84,6 +84,16 @@ def class_weights(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(splits.class_weights(_train_cells(spark, sf)), 6)
 
 
+TREES = 25
+
+
+def forest_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """What each tree of a forest draws of the training cells, by label."""
+    drawn = forest.draws(_train_cells(spark, sf), splits.FEATURES, TREES, SEED)
+    return drawn.groupBy("tree", "label").agg(
+        F.sum("m").alias("drawn"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.count_if(F.col("m") > 0).alias("cells"))
+
+
 # ---------------------------------------------------------------- models
 def baseline_result(spark: SparkSession, sf: str) -> DataFrame:
     """Validation and test results of the constant model, whose scores SQL can follow."""
@@ -125,6 +135,7 @@ QUERIES = {
     "folds_forward": folds_forward,
     "rare_pool": rare_pool,
     "class_weights": class_weights,
+    "forest_draws": forest_draws,
     "baseline_result": baseline_result,
     "model_cohort": model_cohort,
     "model_comparison": model_comparison,
@@ -203,7 +214,23 @@ _BASE_SELECT = (
     "FROM (SELECT * FROM sc WHERE fold = 0) t, cv, k GROUP BY m1, m2, threshold"
 )
 
+_DRAWS = (
+    ", cells AS (SELECT batch_season, industry, subindustry, country_group, batch_year, is_ai, label, count(*) AS n "
+    "FROM m WHERE batch_year <= 1998 GROUP BY ALL), "
+    "terms AS (SELECT x.n, k, sum(exp(-x.n) * pow(x.n, k) / factorial(k::INT)) OVER (PARTITION BY x.n ORDER BY k) AS cdf "
+    "FROM range(0, 8) x(n), range(0, 32) y(k)), "
+    "coded AS (SELECT *, md5(concat_ws('|', 42, tree, batch_season, industry, subindustry, country_group, batch_year, is_ai, label)) AS code "
+    f"FROM cells, range(0, {TREES}) t(tree)), "
+    "u AS (SELECT *, (('0x' || substr(code, 1, 13))::BIGINT + 0.5) / 4503599627370496 AS u, "
+    "(('0x' || substr(code, 14, 13))::BIGINT + 0.5) / 4503599627370496 AS v FROM coded), "
+    "d AS (SELECT tree, label, CASE WHEN n < 8 THEN (SELECT count(*) FROM terms WHERE terms.n = u.n AND cdf < u.u) "
+    "ELSE greatest(0, floor(n + sqrt(n) * sqrt(-2 * ln(u)) * cos(2 * pi() * v) + 0.5)) END::BIGINT AS m FROM u)"
+)
+
 ORACLES = {
+    "forest_draws": with_cohort(
+        _MODEL_ROWS + _DRAWS + " SELECT tree::INT AS tree, label, sum(m)::BIGINT AS drawn, sum(m * m)::BIGINT AS squares, "
+        "count(*) FILTER (WHERE m > 0) AS cells FROM d GROUP BY ALL"),
     "eval_ranking": _SCORED + ", " + _ranking("")
     + " SELECT round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc, threshold, round(best_f1, 6) AS best_f1 FROM k",
     "eval_ranking_groups": _SCORED + ", " + _ranking("l_linestatus")

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortry.functions import cohorts, flags, places, text
 from cohortry.operators import audit, cleaning, metrics, quality, star, validation
@@ -95,6 +96,43 @@ def json_records(spark: SparkSession, sf: str) -> DataFrame:
     return counted.join(texts, "c_mktsegment")
 
 
+_NOTE = "note string, c_custkey long, c_mktsegment string"
+
+
+def json_array(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as one JSON array for each segment, with quotes, brackets and escapes in their texts, read by byte ranges."""
+    customers = table(spark, sf, "customer")
+    note = F.concat(F.lit('"]}{['), F.col("c_name"), F.lit(r' \"\\'), F.lit("},{\n"), F.col("c_mktsegment"))
+    told = customers.select("c_mktsegment", "c_custkey", F.to_json(F.struct(note.alias("note"), "c_custkey", "c_mktsegment", F.array(F.struct("c_custkey")).alias("more"))).alias("value"))
+    ends = told.groupBy("c_mktsegment").agg(F.min("c_custkey").alias("_first"), F.max("c_custkey").alias("_last"))
+    rows = told.join(ends, "c_mktsegment").select(
+        F.col("c_mktsegment").alias("file"), "c_custkey",
+        F.concat(F.when(F.col("c_custkey") == F.col("_first"), "[").otherwise(" , "), "value", F.when(F.col("c_custkey") == F.col("_last"), " ]").otherwise("")).alias("value"))
+    path = staging_path(spark, "arrays")
+    rows.repartition("file").sortWithinPartitions("file", "c_custkey").select("file", "value").write.partitionBy("file").text(path)
+    read = files.read_records(spark, path, schema=T.StructType.fromDDL(_NOTE), array_bytes=0)
+    files.require_records(read, "c_custkey")
+    return read.groupBy("c_mktsegment").agg(
+        F.count("*").alias("n"), F.countDistinct("_order").alias("places"), F.count("_corrupt").alias("broken"), F.sum("c_custkey").alias("keys"),
+        F.sum(F.length("note")).alias("letters"), F.max("note").alias("last_note"))
+
+
+def file_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as one text file for each segment and nation: plain hashes, hash trees over small blocks, and the version of all."""
+    lines = table(spark, sf, "customer").select(
+        "c_mktsegment", "c_nationkey", "c_custkey", F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").alias("value"))
+    path = staging_path(spark, "lines")
+    keys = ["c_mktsegment", "c_nationkey"]
+    lines.repartition(*keys).sortWithinPartitions(*keys, "c_custkey").select(*keys, "value").write.partitionBy(*keys).text(path)
+    named = f"{path}/*/*/*.txt"
+    whole, trees = files.file_manifest(spark, named), files.file_manifest(spark, named, whole_bytes=1_000, block_bytes=500)
+    both = whole.withColumn("_all", F.lit(files.files_version(whole))).join(trees.select("path", F.col("sha256").alias("tree")), "path")
+    place = r"c_mktsegment=([^/]*)/c_nationkey=(\d+)"
+    return both.select(
+        F.regexp_extract("path", place, 1).alias("c_mktsegment"), F.regexp_extract("path", place, 2).cast("int").alias("c_nationkey"),
+        "bytes", "sha256", "version", "tree", F.col("_all").alias("all_version"))
+
+
 def sidecar_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Facts on a table, written beside it as one document and read back as rows (name, value)."""
     orders = table(spark, sf, "orders")
@@ -338,6 +376,8 @@ QUERIES = {
     "provenance_hash": provenance_hash,
     "roundtrip_files": roundtrip_files,
     "json_records": json_records,
+    "json_array": json_array,
+    "file_hashes": file_hashes,
     "sidecar_facts": sidecar_facts,
     "sorted_files": sorted_files,
     "load_counts": load_counts,
@@ -572,6 +612,18 @@ ORACLES = {
     "json_records": (
         "SELECT c_mktsegment, count(*) AS n, count(*) AS places, count(*) - count(c_custkey) AS broken, sum(c_custkey)::BIGINT AS keys, "
         "count(*) AS texts, sum(c_custkey)::BIGINT AS text_keys FROM customer GROUP BY 1"),
+    "json_array": (
+        "SELECT c_mktsegment, count(*) AS n, count(*) AS places, 0::BIGINT AS broken, sum(c_custkey)::BIGINT AS keys, sum(length(note))::BIGINT AS letters, "
+        "max(note) AS last_note FROM (SELECT *, '\"]}{[' || c_name || ' \\\"\\\\' || '},{' || chr(10) || c_mktsegment AS note FROM customer) GROUP BY 1"),
+    "file_hashes": (
+        "WITH l AS (SELECT c_mktsegment, c_nationkey, c_custkey, concat_ws('|', c_custkey, c_name, c_mktsegment) || chr(10) AS v FROM customer), "
+        "p AS (SELECT *, coalesce(sum(strlen(v)) OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM l), "
+        "f AS (SELECT c_mktsegment, c_nationkey, sum(strlen(v))::BIGINT AS bytes, sha256(string_agg(v, '' ORDER BY c_custkey)) AS sha256 FROM l GROUP BY ALL), "
+        "b AS (SELECT c_mktsegment, c_nationkey, begins // 500 AS block, sha256(string_agg(v, '' ORDER BY c_custkey)) AS h FROM p GROUP BY ALL), "
+        "t AS (SELECT c_mktsegment, c_nationkey, sha256(string_agg(h, '' ORDER BY block)) AS h FROM b GROUP BY ALL), "
+        "a AS (SELECT sha256(concat_ws(':', sum(('0x' || substr(sha256, 1, 15))::BIGINT)::VARCHAR, sum(('0x' || substr(sha256, 17, 15))::BIGINT)::VARCHAR, sum(('0x' || substr(sha256, 33, 15))::BIGINT)::VARCHAR, sum(('0x' || substr(sha256, 49, 15))::BIGINT)::VARCHAR, count(*))) AS v FROM f) "
+        "SELECT c_mktsegment, c_nationkey::INT AS c_nationkey, bytes, sha256, substr(sha256, 1, 12) AS version, "
+        "CASE WHEN bytes > 1000 THEN t.h ELSE sha256 END AS tree, a.v AS all_version FROM f JOIN t USING (c_mktsegment, c_nationkey), a"),
     "sidecar_facts": (
         "SELECT unnest(['rows', 'first', 'last', 'statuses']) AS name, unnest([count(*), min(o_orderkey), max(o_orderkey), "
         "count(DISTINCT o_orderstatus)])::BIGINT AS value FROM orders"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.operators import forest, learners, scoring, splits
+from cohortry.operators import forest, importance, learners, scoring, splits
 from cohortry.operators.metrics import rounded
 from cohortry.plans import outcome_job
 from cohortry.plans.bindings import cohort_view, table, with_cohort
@@ -123,6 +123,14 @@ def perm_importance(spark: SparkSession, sf: str) -> DataFrame:
     return outcome_job.run(cohort_view(spark, sf), SPLIT, SEED, names).importance()
 
 
+def perm_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Whose columns each test row takes in three repeats, counted by the countries of both."""
+    _, test = splits.temporal_split(_rows(spark, sf), SPLIT)
+    pairs = importance.permuted_pairs(test.select("company_id", "country_group"), "company_id", ["company_id", "country_group"], 3, SEED)
+    return pairs.groupBy("repeat", "country_group", F.col("_donor.country_group").alias("donor_group")).agg(
+        F.count("*").alias("n"), F.sum(F.col("company_id") * F.pmod(F.col("_donor.company_id"), F.lit(1009))).cast("long").alias("mixed"))
+
+
 QUERIES = {
     "eval_ranking": eval_ranking,
     "eval_ranking_groups": eval_ranking_groups,
@@ -141,6 +149,7 @@ QUERIES = {
     "model_comparison": model_comparison,
     "model_predictions": model_predictions,
     "perm_importance": perm_importance,
+    "perm_pairs": perm_pairs,
 }
 
 
@@ -258,6 +267,14 @@ ORACLES = {
     "class_weights": with_cohort(
         _MODEL_ROWS + " SELECT label, count(*) AS n, round((SELECT count(*) FROM m WHERE batch_year <= 1998) "
         "/ (2.0 * count(*)), 6) AS weight FROM m WHERE batch_year <= 1998 GROUP BY 1"),
+    "perm_pairs": with_cohort(
+        _MODEL_ROWS + ", t AS (SELECT company_id, country_group, row_number() OVER (ORDER BY md5(company_id::VARCHAR), company_id) - 1 AS i, "
+        "count(*) OVER () AS rows FROM m WHERE batch_year > 1998), "
+        f"maps AS (SELECT r, (SELECT min(a) FROM range(1 + (({SEED} + r) * 2654435761) % rows, 500 + (({SEED} + r) * 2654435761) % rows) x(a) "
+        f"WHERE gcd(a, rows) = 1) AS a, (({SEED} + r) * 40503) % rows AS b FROM range(1, 4) z(r), (SELECT DISTINCT rows FROM t)) "
+        "SELECT r::INT AS repeat, t.country_group, d.country_group AS donor_group, count(*) AS n, "
+        "sum(t.company_id * (d.company_id % 1009))::BIGINT AS mixed "
+        "FROM t, maps JOIN t d ON d.i = (a * t.i + b) % d.rows GROUP BY ALL"),
     "baseline_result": with_cohort(_MODEL_ROWS + _BASELINE + _BASE_SELECT),
     "model_cohort": with_cohort(
         _MODEL_ROWS + " SELECT count(*) FILTER (WHERE batch_year <= 1998) AS n_train, "

@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.schemas import RAW_SCHEMA
+from cohortry.sources import ranges
 
 VERSION_LENGTH = 12
+# From this size on a JSON array, or a file to hash, is read by many tasks.
+ARRAY_BYTES = 64 << 20
+WHOLE_BYTES = 256 << 20
+BLOCK_BYTES = 64 << 20
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -24,12 +29,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 # ---------------------------------------------------------------- JSON records
-def read_records(spark: SparkSession, path: str, lines: bool = False, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
+def largest_file(spark: SparkSession, path: str) -> int | None:
+    """Bytes of the largest file, from the listing alone."""
+    return spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+
+
+def read_records(spark: SparkSession, path: str, lines: bool = False, schema: T.StructType = RAW_SCHEMA, array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """Raw records with ``_order`` (input position, comparable) and ``_corrupt``.
 
-    A JSON array is read by one task per file; use JSON lines for volume.
+    A JSON array above ``ARRAY_BYTES`` is read by many tasks (see ``ranges``), smaller ones by one task a file.
     Raises FileNotFoundError when the path is absent.
     """
+    if not lines and exists(spark, path) and (largest_file(spark, path) or 0) > array_bytes:
+        return ranges.read_array(spark, path, schema)
     with_bad = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     reader = spark.read.schema(with_bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
     try:
@@ -147,13 +159,19 @@ def read_sidecar(spark: SparkSession, path: str) -> dict:
 
 
 # ---------------------------------------------------------------- provenance
-def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, bytes, sha256, version) for every file; the hash needs a file whole in one task."""
-    files = spark.read.format("binaryFile").load(path)
-    sha = F.sha2(F.col("content"), 256)
-    return files.select(
-        "path", F.col("length").alias("bytes"), sha.alias("sha256"), F.substring(sha, 1, VERSION_LENGTH).alias("version")
-    )
+def file_manifest(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows (path, bytes, sha256, version) for every file.
+
+    Files up to ``whole_bytes`` have the plain SHA-256 of their content, each in one task; larger ones that of a hash
+    tree over blocks of lines (see ``ranges.tree_hashes``), so that no task holds a whole file.
+    """
+    listed = spark.read.format("binaryFile").load(path)
+    small = listed.filter(F.col("length") <= whole_bytes).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = [r["path"] for r in listed.filter(F.col("length") > whole_bytes).select("path").collect()]  # names of large files only
+    if large:
+        sizes = listed.select("path", F.col("length").alias("bytes"))
+        small = small.unionByName(sizes.join(ranges.tree_hashes(spark, large, block_bytes).drop("bytes"), "path"))
+    return small.withColumn("version", F.substring("sha256", 1, VERSION_LENGTH))
 
 
 def content_versions(df: DataFrame, text: str, by: str) -> DataFrame:

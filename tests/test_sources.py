@@ -95,3 +95,60 @@ def test_whole_directory_job(spark, dirty, tmp_path):
 def test_invalid_raw_stops_the_job(spark, tmp_path):
     with pytest.raises(ValueError, match="validation"):
         directory_job.validate(spark, write_raw(tmp_path / "raw.json", [{"id": 1}]))
+
+
+TRICKY = [
+    {"id": 1, "name": 'a "quoted" } ] text', "tags": ["x}", "{", '\\"'], "status": "\\"},
+    {"id": 2, "name": "é{[日本}", "tags": [], "website": "line\nfeed"},
+    {"id": 3, "name": None, "tags": ["\\\\", "}}}]]]"]},
+    {}, {"id": 5, "slug": "}" * 400 + '"' * 40},
+]
+
+
+def test_arrays_by_ranges_equal_lines(spark, tmp_path):
+    """Whatever the ranges' size and the layout, the records of an array are those of the lines form, in order."""
+    records = [r | {"url": f"u{k}"} for k in range(30) for r in TRICKY]
+    want = [r.asDict() for r in files.read_records(spark, write_raw(tmp_path / "l.json", records, lines=True), lines=True).orderBy("_order").drop("_order").collect()]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for k, (indent, size) in enumerate([(None, "128m"), (None, "700b"), (2, "300b")]):
+        path = tmp_path / f"a{k}.json"
+        path.write_text(" \n" + json.dumps(records, indent=indent, ensure_ascii=k == 1) + "\n")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = files.read_records(spark, str(path), array_bytes=0).orderBy("_order").drop("_order").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert [r.asDict() for r in rows] == want
+
+
+def test_arrays_by_ranges_keep_what_is_broken(spark, tmp_path):
+    def read(text):
+        (tmp_path / "x.json").write_text(text)
+        return files.read_records(spark, str(tmp_path / "x.json"), array_bytes=0)
+
+    assert read("[]").count() == 0 and read(" [ ] \n").count() == 0
+    with pytest.raises(ValueError):
+        files.require_records(read("[]").select("id", "_corrupt"))
+    rows = read('[{"id": 1}, {"id": 2, "name": "cut').orderBy("_order").collect()
+    assert len(rows) == 2 and rows[0]["id"] == 1 and rows[0]["_corrupt"] is None and rows[1]["_corrupt"] is not None
+
+
+def test_hash_tree(spark, tmp_path):
+    import hashlib
+
+    lines = [f"line {k} " + "x" * (k % 97) for k in range(3000)]
+    (tmp_path / "big").write_text("\n".join(lines) + "\n")
+    (tmp_path / "small").write_bytes(b"abc")
+    blocks, at = {}, 0
+    for line in lines:
+        blocks.setdefault(at // 5000, []).append(line + "\n")
+        at += len(line) + 1
+    want = hashlib.sha256("".join(hashlib.sha256("".join(blocks[b]).encode()).hexdigest() for b in sorted(blocks)).encode()).hexdigest()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("128m", "10k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = {r["path"].rsplit("/", 1)[1]: r for r in files.file_manifest(spark, str(tmp_path / "*"), whole_bytes=1000, block_bytes=5000).collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert found["big"]["sha256"] == want and found["big"]["bytes"] == at and found["small"]["sha256"] == hashlib.sha256(b"abc").hexdigest()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Longer lists of allowed values are joined, not listed in the condition.
+LONGEST_LIST = 500
+_LISTS = {"industries": "industry", "statuses": "status", "countries": "primary_country"}
 _FLAG_BY_DEFINITION = {"broad": "is_ai", "tag": "ai_tag"}
 
 
@@ -32,11 +36,9 @@ class Filters:
         keep = F.col("batch_year").between(*self.years)
         if not self.include_incomplete:
             keep &= F.col("batch_status").isin("complete", "unknown")
-        for column, allowed in (
-            ("industry", self.industries), ("status", self.statuses), ("primary_country", self.countries)
-        ):
-            if allowed:
-                keep &= F.col(column).isin(*allowed)
+        for name, column in _LISTS.items():
+            if getattr(self, name):
+                keep &= F.col(column).isin(*getattr(self, name))
         if self.ai != "All":
             flagged = F.coalesce(F.col(flag_column(self.ai_definition)), F.lit(False))
             keep &= flagged if self.ai == "AI" else ~flagged
@@ -50,5 +52,20 @@ def flag_column(definition: str) -> str:
     return _FLAG_BY_DEFINITION[definition]
 
 
-def apply_filters(df: DataFrame, spec: Filters) -> DataFrame:
-    return df.filter(spec.predicate())
+def apply_filters(df: DataFrame, spec: Filters, allowed: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Rows that pass ``spec`` and whose columns hold a value of the tables in ``allowed``.
+
+    ``allowed`` maps a column to a table with that column, of any size; repeated and null values there change nothing.
+    Lists in ``spec`` with over ``LONGEST_LIST`` values are joined the same way: a longer condition would no longer reach
+    the scan and would be shipped with every task.  Spark broadcasts such a table if it measures it as small.
+    """
+    short, tables = spec, dict(allowed or {})
+    for name, column in _LISTS.items():
+        values = getattr(spec, name)
+        if len(values) > LONGEST_LIST:
+            short = replace(short, **{name: ()})
+            given = df.sparkSession.createDataFrame([(v,) for v in sorted(set(values))], f"{column} string")
+            df = df.join(given, column, "left_semi")
+    for column, values in tables.items():
+        df = df.join(values.select(column), column, "left_semi")
+    return df.filter(short.predicate())

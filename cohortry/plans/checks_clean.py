@@ -41,12 +41,8 @@ def _joined_lists(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- sources and validation
 def scan_json_fields(spark: SparkSession, sf: str) -> DataFrame:
-    """Presence of three required keys, one of them absent from some records, one from all."""
-    events = table(spark, sf, "events")
-    record = F.when(F.col("event_type") == "error", "{}").when(F.col("event_type") == "view", '{"k": null, "z": 1}')
-    return validation.field_presence(
-        events.select(record.otherwise(F.col("props")).alias("value")), "value", ("k", "z", "never")
-    )
+    """Presence of required keys in every event's record, by what the records hold."""
+    return validation.field_presence(table(spark, sf, "events").select(F.col("props").alias("value")), "value", ("k", "z", "never"))
 
 
 def json_key_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -297,9 +293,10 @@ def tags_normalise(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def locations_parse(spark: SparkSession, sf: str) -> DataFrame:
-    raw = raw_records(spark, sf).filter(F.col("version") == 0)
-    entries = raw.select("id", F.posexplode(text.split_list(F.col("all_locations"))).alias("position", "entry"))
-    return entries.select("id", "position", places.parse_place(F.col("entry")).alias("p")).select("id", "position", "p.*")
+    """Every place of every record, all versions of it."""
+    entries = raw_records(spark, sf).select("id", "version", F.posexplode(text.split_list(F.col("all_locations"))).alias("position", "entry"))
+    parsed = entries.select("id", F.col("version").cast("int").alias("version"), "position", places.parse_place(F.col("entry")).alias("p"))
+    return parsed.select("id", "version", "position", "p.*")
 
 
 def keyword_flags(spark: SparkSession, sf: str) -> DataFrame:
@@ -597,8 +594,7 @@ _COMPANY_SELECT = (
 
 ORACLES = {
     "scan_json_fields": (
-        "WITH e AS (SELECT CASE event_type WHEN 'error' THEN '{}' WHEN 'view' THEN '{\"k\": null, \"z\": 1}' ELSE props END "
-        "AS v FROM events), k AS (SELECT json_keys(v) AS ks FROM e), "
+        "WITH k AS (SELECT json_keys(props) AS ks FROM events), "
         "f AS (SELECT unnest(['k', 'z', 'never']) AS field), "
         "c AS (SELECT field, (SELECT count(*) FROM k WHERE list_contains(ks, field)) AS present, "
         "(SELECT count(*) FROM k) AS n FROM f) "
@@ -709,8 +705,8 @@ ORACLES = {
         "THEN [split_part(p_name, ' ', 1), p_type] ELSE [split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), p_type] END "
         "AS t FROM part)"),
     "locations_parse": with_raw(
-        ", kept AS (SELECT * FROM raw WHERE version = 0), " + _ENTRIES + ", " + _PLACES
-        + " SELECT id, pos::INT AS position, place_raw, city, region, country, is_remote FROM parsed"),
+        ", kept AS (SELECT * REPLACE (id * 10 + version AS id) FROM raw), " + _ENTRIES + ", " + _PLACES
+        + " SELECT id // 10 AS id, (id % 10)::INT AS version, pos::INT AS position, place_raw, city, region, country, is_remote FROM parsed"),
     "keyword_flags": (
         f"SELECT lang, count(*) FILTER (WHERE w) AS worded, count(*) FILTER (WHERE t) AS tagged, "
         f"count(*) FILTER (WHERE w OR t) AS either FROM (SELECT lang, regexp_matches(text, '{_KEY_WORDS}') AS w, "

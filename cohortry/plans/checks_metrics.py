@@ -72,6 +72,15 @@ def filter_spec(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def filter_allowed(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities with a status of the short list, a country of a list of 100,000 and an id of a table of orders, by status and country."""
+    nations = tuple(r["n_name"] for r in table(spark, sf, "nation").filter("n_nationkey % 2 = 0").select("n_name").collect())
+    spec = Filters(years=(1992, 1998), statuses=("Active", "Public"), countries=(*nations, *[f"place {k}" for k in range(100_000)]))
+    wanted = table(spark, sf, "orders").filter("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("company_id"))
+    kept = apply_filters(cohort_view(spark, sf), spec, {"company_id": wanted})
+    return kept.groupBy("status", "primary_country").agg(F.count("*").alias("n"), F.sum("company_id").alias("key_sum"))
+
+
 def filter_rows(spark: SparkSession, sf: str) -> DataFrame:
     return apply_filters(cohort_view(spark, sf), SPECS["status and country"]).select(
         "company_id", "batch", "industry", "status", "primary_country", "team_size"
@@ -130,6 +139,7 @@ def cohort_mix_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "filter_spec": filter_spec,
+    "filter_allowed": filter_allowed,
     "filter_rows": filter_rows,
     "drop_incomplete_rows": drop_incomplete_rows,
     "text_search": text_search,
@@ -228,6 +238,11 @@ def _concentration(group: str) -> str:
 NOT_UNSPECIFIED = "industry IS DISTINCT FROM 'Unspecified'"
 
 ORACLES = {
+    "filter_allowed": with_cohort(
+        " SELECT status, primary_country, count(*) AS n, sum(company_id)::BIGINT AS key_sum FROM cohort "
+        "WHERE batch_year BETWEEN 1992 AND 1998 AND batch_status IN ('complete', 'unknown') AND status IN ('Active', 'Public') "
+        "AND primary_country IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0) "
+        "AND company_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT') GROUP BY ALL"),
     "filter_spec": with_cohort(" UNION ALL ".join(
         f"SELECT '{name}' AS spec, count(*) AS n, count(team_size) AS sized, sum(company_id)::BIGINT AS key_sum "
         f"FROM cohort WHERE batch_year BETWEEN 1995 AND 2001 AND {where}" for name, where in _SPEC_SQL.items())),

@@ -9,7 +9,8 @@ from cohortry.operators import forest, importance, learners, scoring, splits
 from cohortry.operators.metrics import rounded
 from cohortry.plans import outcome_job
 from cohortry.plans.bindings import cohort_view, table, with_cohort
-from cohortry.session import stage
+from cohortry.session import stage, staging_path
+from cohortry.sources import files, runlog
 
 SPLIT = splits.YearSplit(first=1995, train_end=1998, last=2000, cutoffs=(1995, 1996, 1997, 1998))
 SEED = 42
@@ -123,6 +124,27 @@ def perm_importance(spark: SparkSession, sf: str) -> DataFrame:
     return outcome_job.run(cohort_view(spark, sf), SPLIT, SEED, names).importance()
 
 
+def model_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """What a published run, published a second time, left behind: predictions, result document and log records, as (name, value)."""
+    result = outcome_job.run(cohort_view(spark, sf), SPLIT, SEED, (learners.BASELINE, "logistic_regression"))
+    out, log = staging_path(spark, "outcome"), staging_path(spark, "log")
+    first = outcome_job.publish(result, out, log, "v1", repeats=2)
+    again = outcome_job.publish(result, out, log, "v1", repeats=2)
+    document = files.read_sidecar(spark, f"{out}/run={first}/result")
+    predictions = files.read_csv(spark, f"{out}/*/predictions", result.predictions().schema)
+    base = runlog.flatten_runs(runlog.read_runs(spark, log), ["test_pr_auc", "cv_pr_auc_mean"])
+    facts = {"same run": float(first == again), "features": float(len(document["features"])), "n_train": float(document["cohort"]["n_train"]),
+             "first test year": float(document["cohort"]["test_years"][0]), "judged": float(sum(document["confusion"].values()))}
+    rows = spark.createDataFrame(list(facts.items()), "name string, value double")
+    counted = predictions.agg(F.count("*").cast("double").alias("a"), F.sum("y_true").cast("double").alias("b"))
+    logged = base.agg(F.count("*").cast("double").alias("a"), F.countDistinct("experiment_id").cast("double").alias("b"),
+                      *[F.max(F.when(F.col("model") == learners.BASELINE, F.col(f"m_{c}"))).alias(c) for c in ("test_pr_auc", "cv_pr_auc_mean")])
+    for df, names in ((counted, {"predictions": "a", "positives": "b"}),
+                      (logged, {"records": "a", "record ids": "b", "baseline test_pr_auc": "test_pr_auc", "baseline cv_pr_auc_mean": "cv_pr_auc_mean"})):
+        rows = rows.unionByName(df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in names.items()]))))
+    return rows
+
+
 def perm_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Whose columns each test row takes in three repeats, counted by the countries of both."""
     _, test = splits.temporal_split(_rows(spark, sf), SPLIT)
@@ -150,6 +172,7 @@ QUERIES = {
     "model_predictions": model_predictions,
     "perm_importance": perm_importance,
     "perm_pairs": perm_pairs,
+    "model_outputs": model_outputs,
 }
 
 
@@ -267,6 +290,14 @@ ORACLES = {
     "class_weights": with_cohort(
         _MODEL_ROWS + " SELECT label, count(*) AS n, round((SELECT count(*) FROM m WHERE batch_year <= 1998) "
         "/ (2.0 * count(*)), 6) AS weight FROM m WHERE batch_year <= 1998 GROUP BY 1"),
+    "model_outputs": with_cohort(
+        _MODEL_ROWS + ", v AS (SELECT avg(label) AS p FROM m, (VALUES (1995, 1996), (1996, 1997), (1997, 1998)) w(a, b) "
+        "WHERE batch_year > a AND batch_year <= b GROUP BY a), "
+        "t AS (SELECT count(*) FILTER (WHERE batch_year <= 1998) AS n_train, count(*) FILTER (WHERE batch_year > 1998) AS n_test, "
+        "sum(label) FILTER (WHERE batch_year > 1998) AS positives, avg(label) FILTER (WHERE batch_year > 1998) AS rate FROM m) "
+        "SELECT unnest(['same run', 'features', 'n_train', 'first test year', 'judged', 'predictions', 'positives', 'records', 'record ids', "
+        "'baseline test_pr_auc', 'baseline cv_pr_auc_mean']) AS name, unnest([1, 6, n_train, 1999, n_test, n_test, positives, 2, 2, "
+        "round(rate, 4), (SELECT round(avg(p), 4) FROM v)]::DOUBLE[]) AS value FROM t"),
     "perm_pairs": with_cohort(
         _MODEL_ROWS + ", t AS (SELECT company_id, country_group, row_number() OVER (ORDER BY md5(company_id::VARCHAR), company_id) - 1 AS i, "
         "count(*) OVER () AS rows FROM m WHERE batch_year > 1998), "

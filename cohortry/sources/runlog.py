@@ -29,14 +29,15 @@ RUN_SCHEMA = T.StructType([
 def run_records(
     results: DataFrame, kind: str, metrics: Sequence[str], params: Mapping[str, object] | None = None,
     param_columns: Sequence[str] = (), features: Sequence[str] = (), notes: str = "", version: str = "unknown",
+    run: str | None = None,
 ) -> DataFrame:
     """One record per result row (columns ``model``, the metrics, and the parameter columns).
 
     Metrics are rounded to four places; NaN and infinities become null.  Ids
     are hashes of the record's content and one run id, so a retried task
-    writes the same id again.
+    writes the same id again; with ``run`` given, so does a retried job.
     """
-    run = uuid.uuid4().hex
+    run = run or uuid.uuid4().hex
     now = dt.datetime.now(dt.UTC).isoformat(timespec="seconds")
     pairs = [F.lit(w) for k, v in (params or {}).items() for w in (k, str(v))]
     for column in param_columns:
@@ -56,11 +57,16 @@ def append_runs(records: DataFrame, path: str) -> None:
     records.write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
+def put_runs(records: DataFrame, path: str, run: str) -> None:
+    """Write the records of one run in a folder of its own; writing a run again replaces it."""
+    records.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/run={run}")
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """All records; an absent log is an empty table."""
     if not exists(spark, path):
         return spark.createDataFrame([], RUN_SCHEMA)
-    return spark.read.schema(RUN_SCHEMA).json(path)
+    return spark.read.schema(RUN_SCHEMA).option("recursiveFileLookup", "true").json(path)
 
 
 def metric_names(runs: DataFrame) -> list[str]:

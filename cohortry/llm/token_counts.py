@@ -24,6 +24,8 @@ WORD_START = "▁"
 BYTE_SCORE = -20.0
 # The trie is dropped when it has so many nodes.
 MOST_NODES = 250_000
+# What a task remembers of distinct words, twice over.
+MOST_WORDS = 300_000
 
 
 def zipf_scores(path: str) -> dict[str, float]:
@@ -40,38 +42,97 @@ def zipf_scores(path: str) -> dict[str, float]:
     return {piece: -math.log(k + 2.7) - total for k, piece in enumerate(pieces)}
 
 
+class Pieces:
+    """All pieces that end at a place, found while a word is read: an automaton over the vocabulary.
+
+    A state is [states after each character, the state of its longest proper end, (length, score) of the pieces that
+    end here, shortest first].
+    """
+
+    def __init__(self, scores: dict[str, float]):
+        self.start: list = [{}, None, ()]
+        for piece, score in scores.items():
+            state = self.start
+            for char in piece:
+                state = state[0].setdefault(char, [{}, None, ()])
+            if piece:
+                state[2] = ((len(piece), score),)
+        level = [self.start]
+        while level:
+            below = []
+            for state in level:
+                for char, after in state[0].items():
+                    after[1] = self.after(state[1], char) if state[1] else self.start
+                    after[2] = after[1][2] + after[2]
+                    below.append(after)
+            level = below
+
+    def after(self, state: list | None, char: str) -> list:
+        while state is not None:
+            found = state[0].get(char)
+            if found is not None:
+                return found
+            state = state[1]
+        return self.start
+
+
 class Trie:
-    """Best scores and token counts of prefixes; a node is [children by character, score, tokens]."""
+    """Best scores and token counts of prefixes; nodes are numbered, children found by number and character."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores, self.longest = scores, max(map(len, scores), default=1)
+        self._pieces = Pieces(scores)
+        self.tokens: dict[str, int] = {}
+        self.score: dict[str, float] = {}
+        self._older: tuple[dict[str, int], dict[str, float]] = ({}, {})
         self._reset()
 
     def _reset(self) -> None:
-        self.size = 0
-        self._root: list = [{}, 0.0, 0]
-        self.known: dict[str, tuple[int, float]] = {}
+        self._children: dict[int, int] = {}
+        self._scores, self._tokens, self._states = [0.0], [0], [self._pieces.start]
 
     def insert(self, word: str) -> tuple[int, float]:
         """The number of tokens of the word's best segmentation, and its score; of equal scores, the shortest last piece."""
-        if self.size > MOST_NODES:
-            self._reset()
-        scores, path, node = self.scores, [self._root], self._root
-        for end, char in enumerate(word, 1):
-            after = node[0].get(char)
+        children, scores, tokens, states = self._children, self._scores, self._tokens, self._states
+        path, node, start = [0], 0, self._pieces.start
+        for char in word:
+            key = node << 21 | ord(char)
+            after = children.get(key)
             if after is None:
-                size = len(char.encode())
-                best, tokens = node[1] + size * BYTE_SCORE, node[2] + size
-                for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
-                    score = scores.get(word[start:end])
-                    if score is not None and path[start][1] + score > best:
-                        best, tokens = path[start][1] + score, path[start][2] + 1
-                after = node[0][char] = [{}, best, tokens]
-                self.size += 1
+                state = states[node]
+                below = state[0].get(char)
+                while below is None and state is not start:
+                    state = state[1]
+                    below = state[0].get(char)
+                state = start if below is None else below
+                size = 1 if char < "\x80" else len(char.encode())
+                best, count = scores[node] + size * BYTE_SCORE, tokens[node] + size
+                for length, score in state[2]:
+                    before = path[-length]
+                    found = scores[before] + score
+                    if found > best:
+                        best, count = found, tokens[before] + 1
+                after = children[key] = len(scores)
+                scores.append(best)
+                tokens.append(count)
+                states.append(state)
             node = after
             path.append(node)
-        found = self.known[word] = (node[2], node[1])
-        return found
+        return tokens[node], scores[node]
+
+    def learn(self, words: set[str]) -> None:
+        """Insert, with the word mark, what is not known yet.
+
+        Before a slice of words the trie is dropped if it has more than ``MOST_NODES`` nodes, and of the results those
+        that were not asked for while ``MOST_WORDS`` others were.
+        """
+        if len(self._scores) > MOST_NODES:
+            self._reset()
+        if len(self.tokens) > MOST_WORDS:
+            self._older, self.tokens, self.score = (self.tokens, self.score), {}, {}
+        older, old_score = self._older
+        for word in sorted(words.difference(self.tokens)):
+            count = older.get(word)
+            self.tokens[word], self.score[word] = self.insert(WORD_START + word) if count is None else (count, old_score[word])
 
 
 @functools.lru_cache(maxsize=2)
@@ -94,11 +155,11 @@ def count_tokens(docs: DataFrame, scores: dict[str, float]) -> DataFrame:
             texts = whole(batch.column(1))
             for lo, hi in slices(texts):
                 split = [text.split() for text in texts.slice(lo, hi - lo).to_pylist()]
-                found = {word: trie.known.get(WORD_START + word) or trie.insert(WORD_START + word) for word in set().union(*split)}
-                rows = [[found[word] for word in words] for words in split]
+                trie.learn(set().union(*split))
+                tokens, score = trie.tokens.__getitem__, trie.score.__getitem__
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in split], pa.int64()), pa.array([sum(n for n, _ in x) for x in rows], pa.int64()),
-                     pa.array([float(sum(s for _, s in x)) for x in rows], pa.float64())],
+                    [batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in split], pa.int64()), pa.array([sum(map(tokens, x)) for x in split], pa.int64()),
+                     pa.array([float(sum(map(score, x))) for x in split], pa.float64())],
                     ["doc_id", "n_words", "n_tokens", "log_score"],
                 )
 

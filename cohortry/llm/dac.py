@@ -14,9 +14,11 @@ order of segments, which is the ascending order of ``doc_id``.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,52 +90,89 @@ _ODD = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 
-def _parts(word: str, added: tuple[str, ...] = ()) -> tuple[str, ...]:
-    """A closing mark after a letter or digit is a token run of its own; case does not matter to the tokenizer.
+_CLOSING = ".,;:!?"
 
-    ``added`` are the added tokens' contents in lower case: the tokenizer finds these before it drops case, so a word
-    that holds one in any case is left as it is.
-    """
-    lower = word.lower()
-    if any(content in lower for content in added):
-        return (word,)
+
+def _parts(word: str) -> tuple[str, ...]:
+    """A closing mark after a letter or digit is a token run of its own; case does not matter to the tokenizer."""
+    if word.isascii():
+        word = word.lower()
+        return (word[:-1], word[-1]) if word[-1] in _CLOSING and word[-2:-1].isalnum() else (word,)
     # As the tokenizer sees it, normalised and in lower case, some letters end in a mark that would join what follows.
-    if len(word) > 1 and word[-1] in ".,;:!?" and unicodedata.normalize("NFC", word[-2]).lower().isalnum():
+    if word[-1] in _CLOSING and unicodedata.normalize("NFC", word[-2]).lower().isalnum():
         return (*_parts(word[:-1]), word[-1])
-    return (lower if word.isascii() else word,)
+    return (word.lower() if _PLAIN.fullmatch(word) else word,)
+
+
+# Letters that are composed already and have one lower-case letter each, whatever follows.
+_PLAIN = regex.compile("[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+# What a tokenizer does before its merges if a run of such letters, in lower case, reaches them as its bytes (fixed values).
+_LETTERS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+# Byte-level vocabularies write a byte as a character: visible ones as themselves, the others from U+0100 on.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {byte: 0x100 + k for k, byte in enumerate(sorted(set(range(256)).difference(_VISIBLE)))}
+
+
+def _reaches_merges(spec: dict) -> bool:
+    steps = [(spec.get(kind) or {}).get(inner, []) for kind, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    if tuple([x["type"] for x in found] for found in steps) != _LETTERS[:2]:
+        return False
+    split, level = steps[1]
+    return split["pattern"] == {"Regex": _LETTERS[2]} and not level["add_prefix_space"] and not level["use_regex"]
 
 
 class WordEncoder:
-    """A tokenizer that drops case and white space and splits there, so each word between spaces is encoded once and remembered."""
+    """A tokenizer that drops case and white space and splits there, so each word between spaces is encoded once and remembered.
+
+    A word of plain letters is one run to the tokenizer and goes to its merges at once, every other word through all its steps.
+    """
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(tokenizer)
-        self._added = tuple({x.content.lower() for x in self._tokenizer.get_added_tokens_decoder().values()})
+        self._added = sorted({x.content.lower() for x in self._tokenizer.get_added_tokens_decoder().values()})
+        self._merges = self._tokenizer.model if _reaches_merges(json.loads(tokenizer)) else None
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
+    def _holds_added(self, text: str) -> bool:
+        """The tokenizer finds added tokens' contents before it drops case: a word that holds one in any case is left as it is."""
+        lower = text.lower()
+        return any(content in lower for content in self._added)
+
+    def _learn(self, new: dict[str, tuple[str, ...]]) -> None:
+        known, asked, merges = self._known, [], self._merges
+        for part in {part for parts in new.values() for part in parts}.difference(known):
+            if merges is not None and _PLAIN.fullmatch(part) and part.islower():
+                part_bytes = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
+                known[part] = array("I", [x.id for x in merges.tokenize(part_bytes)]).tobytes()
+            else:
+                asked.append(part)
+        for part, found in zip(asked, self._tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True):
+            known[part] = array("I", found.ids).tobytes()
+        for word, parts in new.items():
+            known[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[part] for part in parts])
+
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """The ids of each text with the end id, as little-endian 32-bit numbers."""
         split = [_SPACE.split(text) if _ODD.search(text) else text.split() for text in texts]
+        odd = any(map(self._holds_added, texts))
         if len(self._known) > MOST_WORDS:
             self._older, self._known = self._known, {}
         known, older, new = self._known, self._older, {}
         for word in set().union(*split).difference(known):
             found = older.get(word)
-            if found is None:
-                new[word] = _parts(word, self._added)
-            else:
+            if found is not None:
                 known[word] = found
-        plain = list({part for parts in new.values() for part in parts}.difference(known))
-        for word, found in zip(plain, self._tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, "<u4").tobytes()
-        for word, parts in new.items():
-            known[word] = b"".join([known[part] for part in parts])
-        last = np.array([end], "<u4").tobytes()
-        return [b"".join([known[word] for word in words]) + last for words in split]
+            elif word:
+                new[word] = (word,) if odd and self._holds_added(word) else _parts(word)
+            else:
+                known[word] = b""
+        self._learn(new)
+        last = array("I", [end]).tobytes()
+        return [b"".join(map(known.__getitem__, words)) + last for words in split]
 
 
 @functools.lru_cache(maxsize=2)

@@ -9,10 +9,9 @@ on the last token only through which first tokens may follow it, and states that
 agree on these are one.  When all places where a later token may still begin
 share the first tokens of their chains, the transducer emits them: it never looks
 further ahead than the longest vocabulary entry.  States and transitions are made
-when a text first needs them.  When a task has as many as it may keep, a piece that
-would need another is followed through all its places at once instead: of the
-tokens that end at a place, found by one automaton over the vocabulary, one may
-follow the last token where it begins.
+when a text first needs them; when a task has as many as it may keep, all are
+dropped and made anew as needed.  The tokens that end at a place are found by one
+automaton over the vocabulary.
 """
 
 from __future__ import annotations
@@ -20,10 +19,10 @@ from __future__ import annotations
 import base64
 import codecs
 import functools
+import gc
 from array import array
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -33,8 +32,8 @@ from pyspark.sql import functions as F
 from cohortry.llm.bytes import slices, whole
 from cohortry.session import ship_package
 
-# Bounds of what a task keeps between pieces.
-MOST_STATES = 60_000
+# Bounds of what a task keeps between pieces; states and their transitions are counted together.
+MOST_STATES = 300_000
 MOST_PAIRS = 400_000
 MOST_PIECES = 250_000
 LONGEST_KEPT_PIECE = 48
@@ -55,17 +54,34 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
+class _Suffix(dict):
+    """The longest end of some bytes that begins a vocabulary entry; as a dictionary, the entries' next bytes.
+
+    ``link``: the next shorter such end.  ``rank``: of the entry these bytes are, or -1.  ``ends``: size and rank of all
+    reachable tokens that end here.  ``open``: sizes of these ends that an entry goes beyond.
+    """
+
+    __slots__ = ("depth", "link", "rank", "ends", "open")
+
+    def __init__(self, depth: int):
+        self.depth, self.link, self.rank, self.ends, self.open = depth, None, -1, None, None
+
+
 class _Node(dict):
     """Bytes not yet emitted; as a dictionary, the node of these and one byte more.
 
-    ``quiet``: the bytes begin a vocabulary entry.  ``live``: the places where a
-    later token may still begin.  ``firsts``: the tokens they may begin with, each
-    with a bit.  ``inner``: for each end, places and tokens that lead there from
-    behind the first.  ``exits`` and ``rests``, by the set of first tokens that may
-    follow the last token: what is emitted now, and what at the end of the piece.
+    ``quiet``: the bytes begin a vocabulary entry.  ``firsts``: the tokens they
+    may begin with, each with a bit.  ``inner``: for each end, the tokens that end
+    there with the place where they begin.  ``exits`` and ``rests``, by the set of
+    first tokens that may follow the last token: what is emitted now, and what at
+    the end of the piece.
     """
 
-    __slots__ = ("held", "quiet", "live", "firsts", "inner", "exits", "rests")
+    __slots__ = ("held", "suffix", "quiet", "firsts", "inner", "exits", "rests")
+
+
+_NO_TOKEN = -2
+_NOTHING_YET: tuple[list[int], None, int] = ([], None, 0)
 
 
 class Transducer:
@@ -74,18 +90,53 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {rank: token for token, rank in ranks.items()}
-        self.prefixes = {token[:k] for token in ranks for k in range(len(token))}
-        self.within = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self.within.add_word(token.decode("latin-1"), (rank, len(token)))
-        self.within.make_automaton()
-        self._own: dict[bytes, bool] = {}
+        self._own: dict[int, bool] = {}
         self._made: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[int, bool] = {}
         self.start = _Node()
-        self.start.held, self.start.quiet, self.start.live, self.start.firsts, self.start.inner = b"", True, (), (), ()
+        self.start.held, self.start.quiet, self.start.firsts, self.start.inner = b"", True, (), ()
+        self.start.suffix = self._suffixes()
         self.start.exits, self.start.rests = {}, {0: []}
-        self._size = 0
+        self.size = 0
+
+    def _suffixes(self) -> _Suffix:
+        start = _Suffix(0)
+        for token, rank in self.ranks.items():
+            state = start
+            for depth, byte in enumerate(token, 1):
+                after = state.get(byte)
+                if after is None:
+                    after = state[byte] = _Suffix(depth)
+                state = after
+            state.rank = rank
+        start.ends, start.open = (), ()
+        level = [start]
+        while level:
+            below = []
+            for state in level:
+                for byte, after in state.items():
+                    after.link = start if state is start else self._after(state.link, byte)
+                    below.append(after)
+            level = below
+        return start
+
+    @staticmethod
+    def _after(state: _Suffix, byte: int) -> _Suffix:
+        while True:
+            found = state.get(byte)
+            if found is not None:
+                return found
+            if state.link is None:
+                return state
+            state = state.link
+
+    def _look(self, state: _Suffix) -> None:
+        """Fill ``ends`` and ``open`` of a state, longest first."""
+        link = state.link
+        if link.ends is None:
+            self._look(link)
+        state.ends = ((state.depth, state.rank), *link.ends) if state.rank >= 0 and self._reachable(state.rank) else link.ends
+        state.open = (state.depth, *link.open) if state else link.open
 
     def merge(self, piece: bytes, least: int = 1) -> list[bytes]:
         """Lowest rank first, leftmost first, down to ``least`` parts; for pieces of a few tokens."""
@@ -97,10 +148,11 @@ class Transducer:
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         return parts
 
-    def _reachable(self, token: bytes) -> bool:
-        found = self._own.get(token)
+    def _reachable(self, rank: int) -> bool:
+        found = self._own.get(rank)
         if found is None:
-            found = self._own[token] = self.merge(token) == [token]
+            token = self.bytes[rank]
+            found = self._own[rank] = self.merge(token) == [token]
         return found
 
     def _halves(self, rank: int) -> tuple[int, int] | None:
@@ -143,22 +195,15 @@ class Transducer:
 
     def _grow(self, node: _Node, byte: int) -> _Node:
         after = node[byte] = _Node()
-        self._size += 1
-        ranks, prefixes = self.ranks, self.prefixes
+        self.size += 1
         held = after.held = node.held + bytes((byte,))
-        after.quiet = held in prefixes
-        after.live = (*[k for k in node.live if held[k:] in prefixes], len(held))
-        rank = ranks.get(held)
-        after.firsts = node.firsts
-        if rank is not None and self._reachable(held):
-            after.firsts = (*node.firsts, (1 << len(node.firsts), len(held), rank))
-        inner = []
-        for k in range(1, len(held)):
-            token = held[k:]
-            rank = ranks.get(token)
-            if rank is not None and self._reachable(token):
-                inner.append((k, rank))
-        after.inner = (*node.inner, inner)
+        suffix = after.suffix = self._after(node.suffix, byte)
+        if suffix.ends is None:
+            self._look(suffix)
+        size, ends = len(held), suffix.ends
+        after.quiet = suffix.depth == size and len(suffix) > 0
+        after.firsts = (*node.firsts, (1 << len(node.firsts), ends[0][1])) if ends and ends[0][0] == size else node.firsts
+        after.inner = (*node.inner, tuple([(size - k, rank) for k, rank in ends]))
         after.exits, after.rests = {}, {}
         return after
 
@@ -172,28 +217,25 @@ class Transducer:
     def _allowed(self, node: _Node, before: int) -> int:
         """The first tokens that may follow, as bits."""
         allowed, pairs, key = 0, self._pairs, before << 32
-        for bit, _, rank in node.firsts:
+        for bit, rank in node.firsts:
             found = pairs.get(key | rank)
             if found or found is None and self._follows(before, rank):
                 allowed |= bit
         return allowed
 
-    def _last(self, node: _Node, allowed: int) -> list[int]:
-        """For each number of held bytes, the token that ends there, or -1."""
-        last, pairs = [-1] * len(node.held), self._pairs
-        for bit, size, rank in node.firsts:
-            if allowed & bit:
-                last[size - 1] = rank
-        for end, ways in enumerate(node.inner):
-            if last[end] < 0:
-                for k, rank in ways:
-                    before = last[k - 1]
-                    if before >= 0:
-                        found = pairs.get(before << 32 | rank)
-                        if found or found is None and self._follows(before, rank):
-                            last[end] = rank
-                            break
-        return last
+    def _extend(self, last: list[int], node: _Node, before: int) -> None:
+        """``last`` holds, for the first held bytes, the token that ends there; go on to all of them."""
+        pairs = self._pairs
+        for ways in node.inner[len(last) :]:
+            for k, rank in ways:
+                left = last[k - 1] if k else before
+                if left != _NO_TOKEN:
+                    found = pairs.get(left << 32 | rank) if left >= 0 else True
+                    if found or found is None and self._follows(left, rank):
+                        last.append(rank)
+                        break
+            else:
+                last.append(_NO_TOKEN)
 
     def _chain(self, last: list[int], end: int) -> list[int]:
         """The places where the tokens that lead to ``end`` end."""
@@ -203,68 +245,57 @@ class Transducer:
             end -= len(self.bytes[last[end - 1]])
         return places[::-1]
 
-    def _exit(self, node: _Node, allowed: int) -> tuple[list[int], _Node]:
-        last, held, shared = self._last(node, allowed), node.held, None
-        for k in node.live:
-            if last[k - 1] < 0:
-                continue
-            places = self._chain(last, k)
-            if shared is None:
-                shared = places
-            else:
-                same = 0
-                while same < min(len(shared), len(places)) and shared[same] == places[same]:
+    def _exit(self, node: _Node, allowed: int, last: list[int]) -> tuple[list[int], _Node | None, int]:
+        """What all places share where a later token may still begin, the node of what is held then, and how much was not."""
+        if self.size >= MOST_STATES:
+            self.start.clear()
+            self.size = 0
+            gc.collect()
+        size = len(node.held)
+        shared = self._chain(last, size)
+        for k in node.suffix.open:
+            if last[size - k - 1] != _NO_TOKEN:
+                places, same = self._chain(last, size - k), 0
+                for a, b in zip(shared, places, strict=False):
+                    if a != b:
+                        break
                     same += 1
-                shared = shared[:same]
-        emitted = [last[place - 1] for place in shared or ()]
-        node.exits[allowed] = found = (emitted, self._node(held[shared[-1]:]) if shared else node)
-        return found
-
-    def _rest(self, node: _Node, allowed: int) -> list[int]:
-        last = self._last(node, allowed)
-        found = node.rests[allowed] = [last[place - 1] for place in self._chain(last, len(node.held))]
+                del shared[same:]
+                if not shared:
+                    break
+        self.size += 1
+        found = ([last[place - 1] for place in shared], self._node(node.held[shared[-1] :]), shared[-1]) if shared else _NOTHING_YET
+        node.exits[allowed] = found
         return found
 
-    def _places(self, piece: bytes) -> list[int]:
-        """The tokens of a piece from the last token at each of its places, without states."""
-        pairs = self._pairs
-        last = [-1] + [-2] * len(piece)
-        for end, (rank, size) in self.within.iter(piece.decode("latin-1")):
-            if last[end + 1] == -2:
-                before = last[end + 1 - size]
-                if before != -2:
-                    fits = True if before < 0 else pairs.get(before << 32 | rank)
-                    if (self._follows(before, rank) if fits is None else fits) and self._reachable(self.bytes[rank]):
-                        last[end + 1] = rank
-        out, end = [], len(piece)
-        while end:
-            out.append(last[end])
-            end -= len(self.bytes[last[end]])
-        return out[::-1]
-
     def encode(self, piece: bytes) -> list[int]:
         """The tokens of one piece, in one pass."""
         rank = self.ranks.get(piece)
         if rank is not None:
             return [rank]
-        full = self._size >= MOST_STATES
-        node, before, out = self.start, -1, []
+        node, before, out, last, firsts, allowed = self.start, -1, [], [], None, 0
         for byte in piece:
             after = node.get(byte)
-            if after is None:
-                if full:
-                    return self._places(piece)
-                after = self._grow(node, byte)
-            node = after
+            node = self._grow(node, byte) if after is None else after
             if not node.quiet:
-                allowed = self._allowed(node, before)
-                emitted, node = node.exits.get(allowed) or self._exit(node, allowed)
-                if emitted:
+                if node.firsts is not firsts:
+                    firsts, allowed = node.firsts, self._allowed(node, before)
+                found = node.exits.get(allowed)
+                if found is None:
+                    self._extend(last, node, before)
+                    found = self._exit(node, allowed, last)
+                if found[2]:
+                    emitted, node, cut = found
                     out += emitted
-                    before = emitted[-1]
-        allowed = self._allowed(node, before)
+                    before, firsts = emitted[-1], None
+                    del last[:cut]
+        if node.firsts is not firsts:
+            allowed = self._allowed(node, before)
         rest = node.rests.get(allowed)
-        return out + (self._rest(node, allowed) if rest is None else rest)
+        if rest is None:
+            self._extend(last, node, before)
+            rest = node.rests[allowed] = [last[place - 1] for place in self._chain(last, len(node.held))]
+        return out + rest
 
 
 def read_table(rank_file: bytes) -> dict[bytes, int]:
@@ -284,15 +315,21 @@ class Encoder:
         split = [self.pieces.findall(text) for text in texts]
         if len(self._known) > MOST_PIECES:
             self._older, self._known = self._known, {}
-        known, older, encode, found = self._known, self._older, self.transducer.encode, {}
-        for piece in set().union(*split):
-            ids = known.get(piece) or older.get(piece)
-            if ids is None:
-                ids = array("i", encode(piece.encode())).tobytes()
-            found[piece] = ids
-            if len(piece) <= LONGEST_KEPT_PIECE:
-                known[piece] = ids
-        return [b"".join([found[piece] for piece in pieces]) for pieces in split]
+        known, older, encode = self._known, self._older, self.transducer.encode
+        long: dict[str, bytes] = {}
+        gc.disable()  # few of the many states made here are garbage; they are looked through once a call, not on the way
+        try:
+            # In order, so that pieces that begin alike find the same states near each other.
+            for piece in sorted(set().union(*split).difference(known)):
+                ids = older.get(piece)
+                if ids is None:
+                    ids = array("i", encode(piece.encode())).tobytes()
+                (known if len(piece) <= LONGEST_KEPT_PIECE else long)[piece] = ids
+        finally:
+            gc.enable()
+        if not long:
+            return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        return [b"".join([known.get(piece) or long[piece] for piece in pieces]) for pieces in split]
 
     def encode(self, text: str) -> list[int]:
         return array("i", self.encode_all([text])[0]).tolist()

@@ -209,7 +209,7 @@ def test_pieces_match_the_library(encoders, monkeypatch):
     some = ["".join(rng.choices(rng.choice(alphabets), k=rng.randrange(60))) for _ in range(3000)] + ["ab" * 30_000, "　 \x1c\x1f", "<|endoftext|>"]
     want = [library.encode_ordinary(text) for text in some]
     assert [mine.encode(text) for text in some] == want
-    monkeypatch.setattr(bpe, "MOST_STATES", 50)  # most pieces without states
+    monkeypatch.setattr(bpe, "MOST_STATES", 2_000)  # states are dropped again and again
     monkeypatch.setattr(bpe, "MOST_PIECES", 10)
     small = bpe.Encoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
     assert [small.encode(text) for text in some] == want

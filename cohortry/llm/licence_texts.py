@@ -85,3 +85,64 @@ derived from this software without specific prior written permission.
         + _BSD_END,
     ),
 ]
+
+TEXTS += [
+    (
+        "Unlicense",
+        """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as
+a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all
+present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF
+OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org/>""",
+    ),
+    (
+        "Zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it
+and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you
+use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution.""",
+    ),
+]
+
+# The same conditions as a list of bullets.
+TEXTS += [(name, text.replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* ")) for name, text in TEXTS if name.startswith("BSD-")]
+
+# SHA-256 of the canonical form of long licences, as their stewards publish them (fixed values; see tests/llm/test_licences.py).
+# The second to fourth of Apache-2.0 are without its appendix, with its template filled in, and in another layout.
+DIGESTS = [
+    ("Apache-2.0", "86b04a6e5baf211a30858c182d594e28d3b084e9bd2a4bafa3464a6a1518ef6e"),
+    ("Apache-2.0", "2295e316b6e525a824b867463925b9336c159a244448c57e561e3a013db1ae5a"),
+    ("Apache-2.0", "905cb44fb0178cb947d66c0ea4aecab0b8eb3502ef89c93d6c1560d9cd8a7b91"),
+    ("Apache-2.0", "6d84ee89f76b764d75926eef566da19cd2d7b4e08f269a7c66a56bf57a4c365f"),
+    ("Artistic-1.0-Perl", "de5e8896b763918701eb91e7bf8bf81f20a97c9f8dd1cacc44519e47d3462bf8"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "f5f9c38f7df7a6319940b19abf0319f6466182bbff433c71f46230c8218b699e"),
+    ("GFDL-1.3", "743c37976c670b3a453d35e0ac45b58f4b6976b1edc0c9e4127a65f93547cadb"),
+    ("GPL-1.0", "c407cbec0c91014ddbfc13a7dcdce2fa96d98d7f40ec02cbac6d9363cc1fe7f6"),
+    ("GPL-2.0", "9a021c46b44af5340dc0513ef06cc6c2399d00ed3cf04291139b63b823a7841e"),
+    ("GPL-3.0", "9bf8d8552d1f7e4f1fcbd5ed09ef7dfe1af158bcf7505775e07e389f48aefcb4"),
+    ("LGPL-2.0", "58a9d9773a2ce7f769e5050ec72a9a6d988be6996699ce1b51f44a93ec48d03c"),
+    ("LGPL-2.1", "f959a7a57703c7ff642dbf1aa5bf6bf2cf08bdd82a5c3474a770596d6d443389"),
+    ("LGPL-3.0", "e1c7b25e9116bcad127297bbfb82e6a89822822ba6bfa3af9eae995aad877765"),
+    ("MPL-1.1", "cbfc00b9f88d8b5c99c2b680632d93a36e40c29744dea389252791b72d254d66"),
+    ("MPL-2.0", "e07dcdcc3b2c19db7e604dfb1498cc5dafa0e9cecf6ffc44f7c2b093fe9bafc2"),
+]

@@ -9,6 +9,7 @@ from cohortry.functions import cohorts, flags, places, text
 from cohortry.operators import audit, cleaning, quality, star, validation
 from cohortry.operators.features import build_features
 from cohortry.schemas import CLEAN_COLUMNS, FEATURE_COLUMNS
+from cohortry.session import stage
 
 
 def one(spark, *columns):
@@ -227,3 +228,18 @@ def test_audit_finds_nothing_in_the_star_and_finds_planted_faults(spark, tables)
                      ("foreign key", "company_id"): 2}
     counts = {r["primaries"]: r["entities"] for r in audit.primary_counts(tables["company_locations"]).collect()}
     assert counts == {1: 5, 0: 1}
+
+
+def test_primary_counts_writes_what_it_reads(spark, tmp_path, monkeypatch):
+    """The features written for the bridge hold its columns alone; a place is primary unless all of an entity's places are remote."""
+    from cohortry.plans import checks_clean
+
+    rows = [(1, 10, "O", 9000.0, dt.datetime(1997, 3, 1), "3-MEDIUM"), (2, 11, "F", 9000.0, dt.datetime(1998, 7, 1), "1-URGENT")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(10, "a", 1, 100.0, "BUILDING"), (11, "b", 1, -5.0, "FURNITURE")], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "PERU", 2)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(2, "AMERICA")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    written = []
+    monkeypatch.setattr(checks_clean, "stage", lambda df, name: written.append(df.columns) or stage(df, name))
+    counts = {r["primaries"]: r["entities"] for r in checks_clean.primary_counts(spark, str(tmp_path)).collect()}
+    assert counts == {1: 1, 0: 1} and written == [["company_id", "location_entries"]]

@@ -39,6 +39,9 @@ WORDS = 5
 # A list with so many sets is long; of these, at most so many (the longest) are told to the tasks, 12 bytes each.
 LONG_LIST = 4
 LONG_LISTS = 1 << 18
+# Keys are counted by buckets of their upper bits; a task sorts so many keys at a time.
+COUNT_BUCKETS = 1 << 12
+COUNTED_KEYS = 1 << 21
 # Rounds that compare each list with one member before the rest is compared in full.
 HUB_ROUNDS = 3
 
@@ -83,13 +86,80 @@ def _keys(sets: list[np.ndarray], seed: int) -> np.ndarray:
     return np.array([int(mix(x ^ np.uint64(seed)).sum()) for x in sets], np.uint64).view(np.int64)
 
 
-def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The upper halves of each text's shingle hashes; counted instead of whole ones to halve what is shuffled."""
+def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The upper halves of the texts' shingle hashes; counted instead of whole ones to halve what is shuffled."""
     for _, texts in _blocks(batches):
-        sets = list(shingle_sets(texts))
-        tops = [(x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in sets]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*tops, np.zeros(0, np.int32)])))], ["tops"])
+        for x in shingle_sets(texts):
+            yield (x >> np.uint64(32)).astype(np.uint32)
+
+
+def _counted(keys: np.ndarray) -> pa.RecordBatch:
+    """Sorted distinct 32-bit keys with their counts, a row for each bucket that has any."""
+    keys, counts = np.unique(keys, return_counts=True)
+    bucket, counts = (keys // np.uint32((1 << 32) // COUNT_BUCKETS)).astype(np.int32), counts.astype(np.uint32)
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = [*starts[1:].tolist(), len(keys)]
+    held = [keys[lo:hi].tobytes() + counts[lo:hi].tobytes() for lo, hi in zip(starts.tolist(), ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(held, pa.binary())], ["bucket", "held"])
+
+
+def _summed(held: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of one bucket that were counted ``least`` times or more, with their counts."""
+    parts = [np.frombuffer(x, np.uint32).reshape(2, -1).astype(np.uint64) for x in held]
+    both = np.sort(np.concatenate([x[0] << np.uint64(32) | x[1] for x in parts]))
+    keys = (both >> np.uint64(32)).astype(np.uint32)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    counts = np.add.reduceat((both & np.uint64(0xFFFFFFFF)).astype(np.int64), starts)
+    return keys[starts][counts >= least].view(np.int32), counts[counts >= least]
+
+
+def key_counts(df: DataFrame, keys, least: int) -> DataFrame:
+    """``t, c``: the 32-bit keys that occur ``least`` times or more, and how often.
+
+    ``keys`` gives the arrays of keys in a task's batches.  Most keys are distinct, so that a row for each would cost far more
+    than the counting: tasks sort and count blocks of them and shuffle the counts by bucket, where they are added up.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for x in keys(batches):
+            parts.append(x)
+            n += len(x)
+            if n >= COUNTED_KEYS:
+                yield _counted(np.concatenate(parts))
+                parts, n = [], 0
+        if n:
+            yield _counted(np.concatenate(parts))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out, n = None, [], [], 0
+        for batch in batches:
+            for bucket, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != now and held:
+                    out.append(_summed(held, least))
+                    held, n = [], n + len(out[-1][0])
+                    if n >= 1 << 16:
+                        yield _joined(out)
+                        out, n = [], 0
+                now = bucket
+                held.append(counts.as_py())
+        if held:
+            out.append(_summed(held, least))
+        if out:
+            yield _joined(out)
+
+    return df.mapInArrow(count, "bucket int, held binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "t int, c long")
+
+
+def _joined(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["t", "c"])
+
+
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The keys of one column of lists."""
+    for batch in batches:
+        x = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+        yield (x >> 32 if x.dtype == np.int64 else x).astype(np.int32).view(np.uint32)
 
 
 def _ordered(long_keys: np.ndarray, long_sizes: np.ndarray):
@@ -243,10 +313,9 @@ def _rest_pairs(here: DataFrame) -> DataFrame:
     return met.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct()
 
 
-def long_lists(tops: DataFrame, least: int = LONG_LIST, most: int = LONG_LISTS) -> tuple[np.ndarray, np.ndarray]:
+def long_lists(tops: DataFrame, least: int = LONG_LIST, most: int = LONG_LISTS, keys=_flat) -> tuple[np.ndarray, np.ndarray]:
     """The longest lists (upper halves of the shingle hashes, sorted) with their lengths; at most ``most`` are fetched."""
-    counts = tops.select(F.explode("tops").alias("t")).groupBy("t").agg(F.count("*").alias("c"))
-    rows = counts.filter(F.col("c") >= least).orderBy(F.desc("c"), "t").limit(most).toArrow()
+    rows = key_counts(tops, keys, least).orderBy(F.desc("c"), "t").limit(most).toArrow()
     keys = rows["t"].to_numpy().astype(np.int32).view(np.uint32)
     order = np.argsort(keys)
     return keys[order], rows["c"].to_numpy()[order]
@@ -263,7 +332,7 @@ def jaccard_components(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFra
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select("doc_id", "text")
-    told = spark.sparkContext.broadcast(long_lists(docs.mapInArrow(_tops, "tops array<int>")))
+    told = spark.sparkContext.broadcast(long_lists(docs, keys=_tops))
 
     def ordered(batches):
         return _ordered(*told.value)(batches)
@@ -276,8 +345,7 @@ def jaccard_components(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFra
     )
     repeated = ids.count() > ids.select("doc_id").distinct().count()
     reps = ids.filter("n > 0 and doc_id = rep").select("rep").distinct()
-    tops = F.explode(F.transform("merged", lambda h: F.shiftright(h, 32).cast("int"))).alias("t")
-    shared = stage(merged.select(tops).groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").select("t"), "shared")
+    shared = stage(key_counts(merged.select("merged"), _flat, 2).select("t"), "shared")
     met = spark.sparkContext.broadcast(sieve(shared))
 
     def lists_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -607,3 +607,21 @@ def test_language_query_finds_held_out_languages(spark, odd, nothing):
     found = {(r["doc_id"], r["lang_pred"], r["score"]) for r in language.predict(odd, known).collect()}
     assert (2, "und", 0.0) in found and (4, "und", 0.0) in found and {f[1] for f in found} <= {"und", "b"}
     assert language.predict(nothing, known).isEmpty() and language.predict(odd, []).filter("lang_pred <> 'und'").isEmpty()
+
+
+def test_key_counts_are_exact(spark, monkeypatch):
+    """Counts over many tasks, blocks and buckets, keys with the upper bit set, very frequent ones; no row for each key."""
+    from collections import Counter
+
+    from cohortry.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "COUNTED_KEYS", 50)
+    rng = random.Random(8)
+    rows = [([rng.choice([7, -7, -(1 << 31), (1 << 31) - 1, rng.randrange(-(1 << 31), 1 << 31), rng.randrange(60)]) for _ in range(rng.randrange(40))],) for _ in range(300)]
+    df = spark.createDataFrame([*rows, ([],)], "tops array<int>").repartition(5)
+    want = Counter(t for (tops,) in rows for t in tops)
+    for least in (1, 2, 4):
+        found = jaccard.key_counts(df, jaccard._flat, least)
+        assert sorted(tuple(r) for r in found.collect()) == sorted((t, c) for t, c in want.items() if c >= least)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert jaccard.key_counts(df.limit(0), jaccard._flat, 1).isEmpty()

@@ -67,21 +67,26 @@ class _Suffix(dict):
         self.depth, self.link, self.rank, self.ends, self.open = depth, None, -1, None, None
 
 
-class _Node(dict):
-    """Bytes not yet emitted; as a dictionary, the node of these and one byte more.
-
-    ``quiet``: the bytes begin a vocabulary entry.  ``firsts``: the tokens they
-    may begin with, each with a bit.  ``inner``: for each end, the tokens that end
-    there with the place where they begin.  ``exits`` and ``rests``, by the set of
-    first tokens that may follow the last token: what is emitted now, and what at
-    the end of the piece.
-    """
+_NO_TOKEN = -2
+_UNSEEN: tuple[int, ...] = ()
 
-    __slots__ = ("held", "suffix", "quiet", "firsts", "inner", "exits", "rests")
 
+class _State(dict):
+    """Bytes not yet emitted, with the tokens that may begin them; as a dictionary, the states after one byte more.
 
-_NO_TOKEN = -2
-_NOTHING_YET: tuple[list[int], None, int] = ([], None, 0)
+    ``up``: the state without the last byte.  ``last``: the token that ends here; ``back``: the state where it begins.
+    ``rank``: of the entry that all these bytes are, or -1.  Where there is one, this state stands for the last tokens that
+    it may follow, ``other`` for those that it may not.  ``emitted``: what is emitted here, None for nothing, with
+    ``target``, the state of what is held then; ``_UNSEEN`` until a text comes here.
+    """
+
+    __slots__ = ("up", "depth", "suffix", "last", "back", "rank", "other", "emitted", "target")
+
+    def __init__(self, up: _State | None, suffix: _Suffix):
+        self.up, self.suffix, self.depth = up, suffix, 0 if up is None else up.depth + 1
+        self.last, self.back, self.rank, self.other, self.target = _NO_TOKEN, None, -1, None, None
+        # While the bytes begin a longer entry, nothing can be emitted.
+        self.emitted = None if suffix.depth == self.depth and suffix else _UNSEEN
 
 
 class Transducer:
@@ -93,11 +98,8 @@ class Transducer:
         self._own: dict[int, bool] = {}
         self._made: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[int, bool] = {}
-        self.start = _Node()
-        self.start.held, self.start.quiet, self.start.firsts, self.start.inner = b"", True, (), ()
-        self.start.suffix = self._suffixes()
-        self.start.exits, self.start.rests = {}, {0: []}
-        self.size = 0
+        self.start = _State(None, self._suffixes())
+        self._states: list[_State] = []
 
     def _suffixes(self) -> _Suffix:
         start = _Suffix(0)
@@ -193,109 +195,126 @@ class Transducer:
             self._pairs[key] = found
         return found
 
-    def _grow(self, node: _Node, byte: int) -> _Node:
-        after = node[byte] = _Node()
-        self.size += 1
-        held = after.held = node.held + bytes((byte,))
-        suffix = after.suffix = self._after(node.suffix, byte)
+    def _grow(self, state: _State, byte: int) -> _State:
+        """The state after one byte more; if all that is held is an entry, the one for last tokens that it may follow."""
+        suffix = self._after(state.suffix, byte)
         if suffix.ends is None:
             self._look(suffix)
-        size, ends = len(held), suffix.ends
-        after.quiet = suffix.depth == size and len(suffix) > 0
-        after.firsts = (*node.firsts, (1 << len(node.firsts), ends[0][1])) if ends and ends[0][0] == size else node.firsts
-        after.inner = (*node.inner, tuple([(size - k, rank) for k, rank in ends]))
-        after.exits, after.rests = {}, {}
+        after = state[byte] = _State(state, suffix)
+        self._states.append(after)
+        ends = suffix.ends
+        if ends and ends[0][0] == after.depth:
+            after.rank = after.last = ends[0][1]
+            after.back = self.start
+        else:
+            self._end(after, ends)
         return after
 
-    def _node(self, held: bytes) -> _Node:
-        node = self.start
-        for byte in held:
-            after = node.get(byte)
-            node = self._grow(node, byte) if after is None else after
-        return node
-
-    def _allowed(self, node: _Node, before: int) -> int:
-        """The first tokens that may follow, as bits."""
-        allowed, pairs, key = 0, self._pairs, before << 32
-        for bit, rank in node.firsts:
-            found = pairs.get(key | rank)
-            if found or found is None and self._follows(before, rank):
-                allowed |= bit
-        return allowed
-
-    def _extend(self, last: list[int], node: _Node, before: int) -> None:
-        """``last`` holds, for the first held bytes, the token that ends there; go on to all of them."""
-        pairs = self._pairs
-        for ways in node.inner[len(last) :]:
-            for k, rank in ways:
-                left = last[k - 1] if k else before
-                if left != _NO_TOKEN:
-                    found = pairs.get(left << 32 | rank) if left >= 0 else True
-                    if found or found is None and self._follows(left, rank):
-                        last.append(rank)
-                        break
-            else:
-                last.append(_NO_TOKEN)
+    def _refuse(self, state: _State) -> _State:
+        """The state of the same bytes for last tokens that the entry may not follow."""
+        other = state.other = _State(state.up, state.suffix)
+        self._states.append(other)
+        self._end(other, state.suffix.ends[1:])
+        return other
+
+    def _end(self, state: _State, ends: tuple[tuple[int, int], ...]) -> None:
+        """Find the token that ends here, of these that begin after the first held byte."""
+        if not ends:
+            return
+        pairs, way = self._pairs, [state]
+        for _ in range(ends[0][0]):
+            way.append(way[-1].up)
+        for size, rank in ends:
+            left = way[size].last
+            if left != _NO_TOKEN:
+                found = pairs.get(left << 32 | rank)
+                if found or found is None and self._follows(left, rank):
+                    state.last, state.back = rank, way[size]
+                    return
 
-    def _chain(self, last: list[int], end: int) -> list[int]:
-        """The places where the tokens that lead to ``end`` end."""
+    @staticmethod
+    def _chain(state: _State) -> list[_State]:
+        """The states where the tokens that lead to this one end, in order."""
         places = []
-        while end > 0:
-            places.append(end)
-            end -= len(self.bytes[last[end - 1]])
-        return places[::-1]
-
-    def _exit(self, node: _Node, allowed: int, last: list[int]) -> tuple[list[int], _Node | None, int]:
-        """What all places share where a later token may still begin, the node of what is held then, and how much was not."""
-        if self.size >= MOST_STATES:
-            self.start.clear()
-            self.size = 0
-            gc.collect()
-        size = len(node.held)
-        shared = self._chain(last, size)
-        for k in node.suffix.open:
-            if last[size - k - 1] != _NO_TOKEN:
-                places, same = self._chain(last, size - k), 0
-                for a, b in zip(shared, places, strict=False):
-                    if a != b:
+        while state.depth:
+            places.append(state)
+            state = state.back
+        places.reverse()
+        return places
+
+    def _move(self, state: _State, byte: int, before: int) -> _State:
+        """The state after one byte more, when ``before`` was emitted last."""
+        after = state.get(byte)
+        if after is None:
+            after = self._grow(state, byte)
+        if after.rank >= 0 and not self._follows(before, after.rank):
+            after = self._refuse(after) if after.other is None else after.other
+        return after
+
+    def _settle(self, state: _State, held: bytes) -> tuple[int, ...] | None:
+        """What all places share where a later token may still begin is emitted; ``held``: the bytes of the state."""
+        if len(self._states) >= MOST_STATES:
+            self._drop(state)
+        state.emitted, size = None, state.depth
+        shared = self._chain(state)
+        for k in state.suffix.open:
+            place = state
+            for _ in range(k):
+                place = place.up
+            if place.last != _NO_TOKEN:
+                same = 0
+                for a, b in zip(shared, self._chain(place), strict=False):
+                    if a is not b:
                         break
                     same += 1
                 del shared[same:]
                 if not shared:
-                    break
-        self.size += 1
-        found = ([last[place - 1] for place in shared], self._node(node.held[shared[-1] :]), shared[-1]) if shared else _NOTHING_YET
-        node.exits[allowed] = found
-        return found
+                    return None
+        state.emitted = tuple([place.last for place in shared])
+        target, before = self.start, state.emitted[-1]
+        for byte in held[len(held) - size + shared[-1].depth :]:
+            target = self._move(target, byte, before)
+        state.target = target
+        return state.emitted
+
+    def _drop(self, state: _State) -> None:
+        """Forget all states but this one and those that lead to it; without links down there are no cycles."""
+        for old in self._states:
+            old.clear()
+            old.other = old.target = None
+            old.emitted = old.emitted and _UNSEEN
+        self.start.clear()
+        self._states = [state]
+        gc.unfreeze()
+        gc.collect()
 
     def encode(self, piece: bytes) -> list[int]:
         """The tokens of one piece, in one pass."""
         rank = self.ranks.get(piece)
         if rank is not None:
             return [rank]
-        node, before, out, last, firsts, allowed = self.start, -1, [], [], None, 0
-        for byte in piece:
-            after = node.get(byte)
-            node = self._grow(node, byte) if after is None else after
-            if not node.quiet:
-                if node.firsts is not firsts:
-                    firsts, allowed = node.firsts, self._allowed(node, before)
-                found = node.exits.get(allowed)
-                if found is None:
-                    self._extend(last, node, before)
-                    found = self._exit(node, allowed, last)
-                if found[2]:
-                    emitted, node, cut = found
-                    out += emitted
-                    before, firsts = emitted[-1], None
-                    del last[:cut]
-        if node.firsts is not firsts:
-            allowed = self._allowed(node, before)
-        rest = node.rests.get(allowed)
-        if rest is None:
-            self._extend(last, node, before)
-            rest = node.rests[allowed] = [last[place - 1] for place in self._chain(last, len(node.held))]
-        return out + rest
+        pairs, state, before, out = self._pairs, self.start, -1, []
+        for at, byte in enumerate(piece, 1):
+            after = state.get(byte)
+            if after is None:
+                after = self._grow(state, byte)
+            rank = after.rank
+            if rank >= 0 and before >= 0:
+                found = pairs.get(before << 32 | rank)
+                if not found and (found is not None or not self._follows(before, rank)):
+                    after = self._refuse(after) if after.other is None else after.other
+            emitted = after.emitted
+            if emitted is None:
+                state = after
+                continue
+            if emitted is _UNSEEN:
+                emitted = self._settle(after, piece[at - after.depth : at])
+            if emitted:
+                out += emitted
+                before, state = emitted[-1], after.target
+            else:
+                state = after
+        return out + [place.last for place in self._chain(state)]
 
 
 def read_table(rank_file: bytes) -> dict[bytes, int]:
@@ -317,7 +336,7 @@ class Encoder:
             self._older, self._known = self._known, {}
         known, older, encode = self._known, self._older, self.transducer.encode
         long: dict[str, bytes] = {}
-        gc.disable()  # few of the many states made here are garbage; they are looked through once a call, not on the way
+        gc.disable()  # none of the many states made here is garbage before all are dropped, so the collector never visits them
         try:
             # In order, so that pieces that begin alike find the same states near each other.
             for piece in sorted(set().union(*split).difference(known)):
@@ -326,6 +345,7 @@ class Encoder:
                     ids = array("i", encode(piece.encode())).tobytes()
                 (known if len(piece) <= LONGEST_KEPT_PIECE else long)[piece] = ids
         finally:
+            gc.freeze()
             gc.enable()
         if not long:
             return [b"".join(map(known.__getitem__, pieces)) for pieces in split]

@@ -1,6 +1,7 @@
 """The operators on documents against brute force and exact round trips, on odd rows and on the given tables."""
 
 import base64
+import gc
 import hashlib
 import random
 import re
@@ -116,8 +117,7 @@ def test_large_groups_lose_no_link(spark, rounds):
 
 def one_shared_list():
     """Texts of nine shingles each: a, b and c are merged in one common list only, where it stands first; b and c link, a with nobody."""
-    import pyarrow as pa
-
+    
     from cohortry.llm.jaccard import shingle_sets
 
     rng = random.Random(11)
@@ -215,6 +215,24 @@ def test_pieces_match_the_library(encoders, monkeypatch):
     assert [small.encode(text) for text in some] == want
 
 
+def test_dropped_states_need_no_collector(encoders, monkeypatch):
+    """States are freed as soon as they are dropped, and the collector never walks over those that are kept."""
+    monkeypatch.setattr(bpe, "MOST_STATES", 500)
+    small = bpe.Encoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choices("thersonaidßé", k=rng.randrange(4, 14))) for _ in range(400)) for _ in range(10)]
+    held = lambda: sum(type(x) is bpe._State for x in gc.get_objects())
+    gc.unfreeze()
+    gc.collect()
+    before = held()
+    assert small.encode_all(texts) and not held() > before
+    monkeypatch.setattr(bpe.gc, "collect", lambda: 0)
+    want = [encoders[1].encode_ordinary(text) for text in texts]
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in small.encode_all([text.upper() for text in texts] + texts)[10:]] == want
+    gc.unfreeze()
+    assert held() - before < 1_000
+
+
 @given(st.text(max_size=80))
 @settings(max_examples=150, deadline=None)
 def test_round_trip(encoders, text):

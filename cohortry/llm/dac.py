@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,6 +36,8 @@ CHUNK = 8
 BLOCK = 512
 # A segment is closed when it holds so many tokens (a longer document is one segment).
 SEGMENT_TOKENS = 1 << 20
+# Texts are encoded in slices of about this many bytes: each of a slice's words is looked up once.
+SLICE_BYTES = 8 << 20
 # What a task remembers of the tokens of distinct words, twice over.
 MOST_WORDS = 350_000
 
@@ -85,8 +88,7 @@ def access(code: list[bytes], place: int) -> int:
     return found
 
 
-# Characters that Python takes for white space and the tokenizer does not (fixed values).
-_ODD = regex.compile("[\x1c-\x1f]")
+# White space as the tokenizer takes it (fixed values); Python also takes U+001C to U+001F.
 _SPACE = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 
@@ -106,7 +108,10 @@ def _parts(word: str) -> tuple[str, ...]:
 
 # Letters that are composed already and have one lower-case letter each, whatever follows.
 _PLAIN = regex.compile("[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-# What a tokenizer does before its merges if a run of such letters, in lower case, reaches them as its bytes (fixed values).
+# Words of such letters, digits and marks, and their runs in lower case (the split pattern below, for these characters).
+_SIMPLE = regex.compile("[!-~\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_RUN = regex.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9]|[!-/:-@\\[-`{-~]+")
+# What a tokenizer does before its merges if a run of such characters, in lower case, reaches them as its bytes (fixed values).
 _LETTERS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
 # Byte-level vocabularies write a byte as a character: visible ones as themselves, the others from U+0100 on.
 _VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -124,7 +129,7 @@ def _reaches_merges(spec: dict) -> bool:
 class WordEncoder:
     """A tokenizer that drops case and white space and splits there, so each word between spaces is encoded once and remembered.
 
-    A word of plain letters is one run to the tokenizer and goes to its merges at once, every other word through all its steps.
+    The runs of a word of plain letters, digits and marks go to its merges at once, every other word through all its steps.
     """
 
     def __init__(self, tokenizer: str):
@@ -134,7 +139,7 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_str(tokenizer)
         self._added = sorted({x.content.lower() for x in self._tokenizer.get_added_tokens_decoder().values()})
         self._merges = self._tokenizer.model if _reaches_merges(json.loads(tokenizer)) else None
-        self._known: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {"": b""}
         self._older: dict[str, bytes] = {}
 
     def _holds_added(self, text: str) -> bool:
@@ -142,37 +147,56 @@ class WordEncoder:
         lower = text.lower()
         return any(content in lower for content in self._added)
 
-    def _learn(self, new: dict[str, tuple[str, ...]]) -> None:
-        known, asked, merges = self._known, [], self._merges
-        for part in {part for parts in new.values() for part in parts}.difference(known):
-            if merges is not None and _PLAIN.fullmatch(part) and part.islower():
-                part_bytes = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
-                known[part] = array("I", [x.id for x in merges.tokenize(part_bytes)]).tobytes()
+    def _run(self, run: str) -> bytes:
+        """The ids of one run; also remembered as a word."""
+        found = self._known.get(run)
+        if found is None:
+            held = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTE_CHARS)
+            found = self._known[run] = array("I", [x.id for x in self._merges.tokenize(held)]).tobytes()
+        return found
+
+    def _learn(self, new: list[str]) -> None:
+        known, run, others, odd = self._known, self._run, {}, self._holds_added("\0".join(new))
+        for word in new:
+            simple = word.isprintable() if word.isascii() else _SIMPLE.fullmatch(word)
+            if not simple or self._merges is None or odd and self._holds_added(word):
+                others[word] = [part for each in _SPACE.split(word) if each for part in ((each,) if odd and self._holds_added(each) else _parts(each))]
+                continue
+            low = word.lower()
+            if low.isalpha():
+                known[word] = run(low)
+            elif low[:-1].isalpha():
+                known[word] = run(low[:-1]) + run(low[-1])
             else:
-                asked.append(part)
+                known[word] = b"".join(map(run, _RUN.findall(low)))
+        asked = list({part for parts in others.values() for part in parts}.difference(known))
         for part, found in zip(asked, self._tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True):
             known[part] = array("I", found.ids).tobytes()
-        for word, parts in new.items():
-            known[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[part] for part in parts])
+        for word, parts in others.items():
+            known[word] = b"".join([known[part] for part in parts])
 
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
+    def encode(self, texts: pa.Array, end: int) -> list[bytes]:
         """The ids of each text with the end id, as little-endian 32-bit numbers."""
-        split = [_SPACE.split(text) if _ODD.search(text) else text.split() for text in texts]
-        odd = any(map(self._holds_added, texts))
+        split = pc.ascii_split_whitespace(texts)  # other white space stays in its word until that is learnt
+        words = split.flatten().dictionary_encode()
         if len(self._known) > MOST_WORDS:
-            self._older, self._known = self._known, {}
-        known, older, new = self._known, self._older, {}
-        for word in set().union(*split).difference(known):
-            found = older.get(word)
-            if found is not None:
-                known[word] = found
-            elif word:
-                new[word] = (word,) if odd and self._holds_added(word) else _parts(word)
-            else:
-                known[word] = b""
-        self._learn(new)
-        last = array("I", [end]).tobytes()
-        return [b"".join(map(known.__getitem__, words)) + last for words in split]
+            self._older, self._known = self._known, {"": b""}
+        known, older, new = self._known, self._older, []
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        for word in distinct:
+            if word not in known:
+                found = older.get(word)
+                if found is None:
+                    new.append(word)
+                else:
+                    known[word] = found
+        if new:
+            self._learn(new)
+        ids = pa.array(list(map(known.__getitem__, distinct)), pa.large_binary()).take(words.indices)
+        places = ids.buffers()
+        ends = np.frombuffer(places[1], np.int64)[ids.offset : ids.offset + len(ids) + 1][np.asarray(split.offsets) - split.offsets[0].as_py()].tolist()
+        data, last = memoryview(places[2]) if places[2] is not None else memoryview(b""), array("I", [end]).tobytes()
+        return [b"".join((data[a:b], last)) for a, b in zip(ends, ends[1:], strict=False)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -207,8 +231,8 @@ def write(docs: DataFrame, tokenizer: str, end: int, path: str) -> None:
         bucket, part, names, held, n = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
             texts = whole(batch.column(1))
-            for lo, hi in slices(texts):
-                found = encoder.encode(texts.slice(lo, hi - lo).to_pylist(), last)
+            for lo, hi in slices(texts, SLICE_BYTES):
+                found = encoder.encode(texts.slice(lo, hi - lo), last)
                 for name, ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), found, strict=True):
                     if n and n + len(ids) // 4 > SEGMENT_TOKENS:
                         yield _segment(bucket, part, names, held)

@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -117,7 +118,8 @@ def test_large_groups_lose_no_link(spark, rounds):
 
 def one_shared_list():
     """Texts of nine shingles each: a, b and c are merged in one common list only, where it stands first; b and c link, a with nobody."""
-    
+    import pyarrow as pa
+
     from cohortry.llm.jaccard import shingle_sets
 
     rng = random.Random(11)
@@ -290,6 +292,27 @@ def test_token_codes_of_odd_rows(spark, odd, nothing, tmp_path, monkeypatch):
         check_codes(texts_of(df), dac.checksums(dac.read(dac.segments(spark, str(tmp_path / name)))))
 
 
+def test_words_of_letters_digits_and_marks_go_to_the_merges():
+    """Their runs skip the tokenizer's other steps, whatever stands between them; ids are the library's."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, mine = Tokenizer.from_file(path), dac.WordEncoder(open(path, encoding="utf-8").read())
+    rng = random.Random(6)
+    some = ["whst$$$ que,ks", "Don't 'S !'s we've...", "x1y22.", "ÉÀß&&& élan's", "\xa0a\x85b\u3000c", "a\x1cb", "", " \n", "µª²½×÷ ﬁ Σς İ", "日本語. x"]
+    some += ["".join(rng.choices("aBé, .'st1$\xa0\x1c\u0301ß²", k=rng.randrange(30))) for _ in range(3000)]
+    asked = []
+
+    class Told:
+        def encode_batch_fast(self, words, **rest):
+            asked.extend(words)
+            return library.encode_batch_fast(words, **rest)
+
+    mine._tokenizer = Told()
+    column = pa.array(["of other rows", *some, "too"])
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in mine.encode(column.slice(1, len(some)), 1)]
+    assert got == [[*library.encode(text, add_special_tokens=False).ids, 1] for text in some]
+    assert "日本語" in asked and {"whst$$$", "que,ks", "don't", "'s", "éàß&&&"}.isdisjoint(word.lower() for word in asked)
+
+
 def test_added_tokens_are_found_as_the_library_does(spark, tmp_path):
     """Texts that hold the added tokens' contents, against the library as it comes."""
     path = public_tokenizers.path("word_bpe_49k.json")

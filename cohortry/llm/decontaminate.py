@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortry.llm.bytes import _LOWER, runs, slices, utf8, whole, words
 from cohortry.session import ship_package, stage, unstage
@@ -91,8 +92,17 @@ def _merged(spans: list[list[int]]) -> list[tuple[int, int]]:
 _FOUND = "n_words long, word_hits array<array<int>>, items array<long>"
 
 
-def _scan(told, rest: int):
-    """One pass: ``rest`` further columns, the text, and what earlier blocks found."""
+def _kept(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> str:
+    """The bytes of one text without these spans of its words."""
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(data[at : starts[a]].tobytes())
+        at = int(ends[b - 1])
+    return (b"".join(kept) + data[at:].tobytes()).decode()
+
+
+def _scan(told, rest: int, cut: bool = False):
+    """One pass: ``rest`` further columns, the text, and what earlier blocks found; with ``cut`` spans are cut out and counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(told.value)
@@ -109,23 +119,35 @@ def _scan(told, rest: int):
                     else:
                         spans[row].append([begin, begin + length])
                     items[row].update(found)
-                columns = [pa.array(np.diff(first)), pa.array([_merged(x) for x in spans], pa.list_(pa.list_(pa.int32()))), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[: rest + 1], *columns], batch.schema.names)
+                spans = [_merged(x) for x in spans]
+                columns = [pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))]
+                if not cut:
+                    yield pa.RecordBatch.from_arrays([*part.columns[: rest + 1], *columns], batch.schema.names)
+                    continue
+                texts, gone = part.column(rest).to_pylist(), [0] * (hi - lo)
+                for row, found in enumerate(spans):
+                    if found:
+                        here, at = slice(first[row], first[row + 1]), offsets[row]
+                        text = _kept(data[at : offsets[row + 1]], starts[here] - at, ends[here] - at, found)
+                        gone[row], texts[row] = len(texts[row]) - len(text), text
+                columns = [pa.array(texts, pa.string()), *columns, pa.array(gone, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:rest], *columns], [*batch.schema.names, "removed"])
 
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
     """The rows of ``docs`` with ``n_words``, ``word_hits`` (merged spans of words inside an occurrence) and ``items``.
 
     ``benchmark`` has ``item_id`` and ``text``.  Its windows are cut into as many
     blocks as their bytes need, so what is broadcast is bounded whatever the
     benchmark's size; documents are never shuffled.  Null texts have no words.
-    Repeated rows stay; columns of these names in ``docs`` are replaced.
+    Repeated rows stay; columns of these names in ``docs`` are replaced.  With ``cut``,
+    ``text`` and ``removed`` are those of ``without_hits``, by the same Python task.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    docs = docs.drop("n_words", "word_hits", "items")
+    docs = docs.drop("n_words", "word_hits", "items", *["removed"] * cut)
     windows = stage(item_windows(benchmark), "windows")
     size = windows.agg(F.sum(F.length("window") + 120)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
@@ -134,7 +156,10 @@ def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
                       F.expr("cast(array() as array<long>)").alias("items"))
     for block in range(blocks):
         rows = windows.filter(F.pmod(F.xxhash64("window", "item_id"), F.lit(blocks)) == block).collect()
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast([tuple(r) for r in rows]), len(columns)), out.schema)
+        last, kinds = cut and block == blocks - 1, out.schema
+        if last:
+            kinds = T.StructType([*kinds.fields, T.StructField("removed", T.LongType())])
+        out = out.mapInArrow(_scan(spark.sparkContext.broadcast([tuple(r) for r in rows]), len(columns), last), kinds)
     unstage(windows)
     return out
 
@@ -165,11 +190,7 @@ def without_hits(found: DataFrame) -> DataFrame:
                 if spans:
                     data = np.frombuffer(texts[row].encode(), np.uint8)
                     _, starts, ends, _ = words(data, np.array([0, len(data)]), _WORD)
-                    kept, at = [], 0
-                    for a, b in spans:
-                        kept.append(data[at : starts[a]].tobytes())
-                        at = int(ends[b - 1])
-                    text = (b"".join(kept) + data[at:].tobytes()).decode()
+                    text = _kept(data, starts, ends, spans)
                     gone[-1], texts[row] = len(texts[row]) - len(text), text
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(texts, pa.string()), pa.array(gone, pa.int64())], [*columns, "text", "removed"])
 

@@ -11,7 +11,7 @@ import tiktoken
 from test_documents import RANKS, SF, base_spans, brute_components, plain_words, texts_of
 
 import corpus_pipeline
-from cohortry.llm import pii, quality
+from cohortry.llm import decontaminate, pii, quality
 
 COLUMNS = list(corpus_pipeline.COLUMNS)
 
@@ -79,6 +79,22 @@ def test_stages_on_odd_tables(spark, step):
             assert out.columns == COLUMNS
 
 
+def test_decontamination_needs_one_python_task_at_once(spark):
+    """A second one in the same stage leaves idle Python workers behind, and each later fills its own caches."""
+    rows = [(k, text, "en", "s", 1) for k, text in enumerate(["Say: the quick, brown fox! ran", None, "", "nothing of it", "THE quick\xa0brown fox", "é the quick brown fox, the quick brown fox é"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    out = corpus_pipeline.benchmark_decontamination(spark, docs, SF)
+    assert str(out._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1
+    bench = spark.createDataFrame([(7, "the quick brown fox"), (8, "ran")], "item_id long, text string")
+    for block_bytes in (decontaminate.BLOCK_BYTES, 130):
+        found = decontaminate.find(docs, bench, block_bytes)
+        cut = decontaminate.find(docs, bench, block_bytes, cut=True)
+        parts = decontaminate.without_hits(found)
+        assert cut.select(parts.columns).collect() == parts.collect()
+        assert cut.select("n_words", "word_hits", "items").collect() == found.select("n_words", "word_hits", "items").collect()
+    assert [r["removed"] for r in cut.collect()] == [25, 0, 0, 0, 0, 40]
+
+
 def test_stages_are_the_named_ones():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality classifier", "n-gram Jaccard join", "benchmark decontamination", "PII", "byte-level BPE encoding and decoding"]

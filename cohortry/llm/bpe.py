@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.bytes import slices, whole
+from cohortry.llm.bytes import lean, slices, whole
 from cohortry.session import ship_package
 
 # Bounds of what a task keeps between pieces; states and their transitions are counted together.
@@ -372,19 +372,23 @@ def _encoder(rank_file: bytes, pattern: str) -> Encoder:
     return Encoder(rank_file, pattern)
 
 
-def encode(docs: DataFrame, rank_file: bytes, pattern: str, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, rank_file: bytes, pattern: str, decoded: bool = False, kept: bool = True) -> DataFrame:
     """``doc_id, ids`` (array of int) for each row of ``docs``, with ``decoded`` also ``text``, decoded from the ids.
 
     The rank file (about 1 MB, whatever the input) goes to the tasks as it is.
     Null and empty texts have no ids and decode to the empty text.  Other columns
-    are not read; repeated rows stay.
+    are not read; repeated rows stay.  With ``kept`` a worker keeps its encoder for its
+    next tasks; else each task makes one and gives its memory back, which other steps on
+    the same executors need.
     """
     ship_package(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast((rank_file, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(*told.value)
+        encoder = _encoder(*told.value) if kept else None
         for batch in batches:
+            if encoder is None:
+                encoder = Encoder(*told.value)
             texts = whole(batch.column(1))
             for lo, hi in slices(texts):
                 ids = encoder.encode_all(texts.slice(lo, hi - lo).to_pylist())
@@ -396,7 +400,7 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str, decoded: bool = Fals
                     names.append("text")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
+    return docs.select("doc_id", "text").mapInArrow(run if kept else lean(run), "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def _decoded(column: pa.ListArray, table: dict[int, bytes]) -> pa.Array:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.llm.bytes import _LOWER, runs, slices, utf8, whole, words
+from cohortry.llm.bytes import _LOWER, lean, runs, slices, utf8, whole, words
 from cohortry.session import ship_package, stage, unstage
 
 WINDOW = 10
@@ -46,7 +46,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], ["item_id", "length", "hash", "window"])
 
-    found = benchmark.select("item_id", "text").mapInArrow(run, "item_id long, length int, hash long, window binary")
+    found = benchmark.select("item_id", "text").mapInArrow(lean(run), "item_id long, length int, hash long, window binary")
     return found.distinct()
 
 
@@ -159,7 +159,7 @@ def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES,
         last, kinds = cut and block == blocks - 1, out.schema
         if last:
             kinds = T.StructType([*kinds.fields, T.StructField("removed", T.LongType())])
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast([tuple(r) for r in rows]), len(columns), last), kinds)
+        out = out.mapInArrow(lean(_scan(spark.sparkContext.broadcast([tuple(r) for r in rows]), len(columns), last)), kinds)
     unstage(windows)
     return out
 
@@ -196,7 +196,7 @@ def without_hits(found: DataFrame) -> DataFrame:
 
     held = found.select(*columns, "text", "word_hits")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1])
-    return held.mapInArrow(run, f"{kinds}, removed long")
+    return held.mapInArrow(lean(run), f"{kinds}, removed long")
 
 
 _WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.bytes import mix, runs, slices, stream, utf8, whole, words
+from cohortry.llm.bytes import lean, mix, runs, slices, stream, utf8, whole, words
 from cohortry.llm.components import components
 from cohortry.llm.sieve import passes, sieve
 from cohortry.session import ship_package, stage, unstage
@@ -148,7 +148,7 @@ def key_counts(df: DataFrame, keys, least: int) -> DataFrame:
         if out:
             yield _joined(out)
 
-    return df.mapInArrow(count, "bucket int, held binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "t int, c long")
+    return df.mapInArrow(lean(count), "bucket int, held binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(add), "t int, c long")
 
 
 def _joined(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -252,7 +252,7 @@ def _sifted(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(passes(told.value, batch.column(0).to_numpy(zero_copy_only=False))))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(lean(run), rows.schema)
 
 
 def _probe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -264,11 +264,11 @@ def _probe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return pairs.join(right, "b").join(left, "a").select("a", "b", total.alias("total"), "x", "y")
 
     sided = with_sides(pairs, sets, "bits", F.col("na") + F.col("nb"))
-    near = stage(sided.mapInArrow(_kept(may_link), "a long, b long, total long").distinct(), "near")
+    near = stage(sided.mapInArrow(lean(_kept(may_link)), "a long, b long, total long").distinct(), "near")
     needed = sieve(near.select(F.explode(F.array("a", "b")).alias("rep")))
     full = with_sides(near, _sifted(sets.select("rep", "n", "shingles"), needed), "shingles", F.col("total"))
     test = _kept(lambda x, y, n: len(x) + len(y) == 5 * n and 9 * overlap(x, y) >= 4 * n)
-    found = stage(full.mapInArrow(test, "a long, b long, total long").select("a", "b").distinct(), "found")
+    found = stage(full.mapInArrow(lean(test), "a long, b long, total long").select("a", "b").distinct(), "found")
     unstage(near)
     return found
 
@@ -337,7 +337,7 @@ def jaccard_components(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFra
     def ordered(batches):
         return _ordered(*told.value)(batches)
 
-    merged = stage(docs.mapInArrow(ordered, "doc_id long, n long, k1 long, k2 long, merged array<long>"), "merged")
+    merged = stage(docs.mapInArrow(lean(ordered), "doc_id long, n long, k1 long, k2 long, merged array<long>"), "merged")
     classes = merged.filter("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     ids = stage(
         merged.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
@@ -358,12 +358,12 @@ def jaccard_components(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFra
             rows = pa.array(row[kept])
             yield pa.RecordBatch.from_arrays([pa.array(h[kept]), batch.column("doc_id").take(rows), batch.column("n").take(rows), pa.array(at[kept])], ["h", "rep", "n", "at"])
 
-    rows = merged.filter("doc_id is not null").select("doc_id", "n", "merged").mapInArrow(lists_met, "h long, rep long, n long, at long")
+    rows = merged.filter("doc_id is not null").select("doc_id", "n", "merged").mapInArrow(lean(lists_met), "h long, rep long, n long, at long")
     rows = rows.withColumn("t", F.shiftright("h", 32).cast("int")).join(shared, "t").join(reps, "rep").select("h", "rep", "n", "at")
     lists = stage(rows.distinct() if repeated else rows, "lists")
     unstage(merged, shared)
     members = spark.sparkContext.broadcast(sieve(lists.select("rep")))
-    sets = stage(docs.mapInArrow(lambda batches: _whole_sets(members.value, batches), "rep long, n long, k1 long, bits binary, shingles binary"), "sets")
+    sets = stage(docs.mapInArrow(lean(lambda batches: _whole_sets(members.value, batches)), "rep long, n long, k1 long, bits binary, shingles binary"), "sets")
     if repeated:  # its copies would multiply in the joins
         once = stage(sets.dropDuplicates(["rep", "n", "k1"]), "sets")
         unstage(sets)

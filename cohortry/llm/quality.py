@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.bytes import mix, slices, utf8, whole, words
+from cohortry.llm.bytes import lean, mix, slices, utf8, whole, words
 from cohortry.session import ship_package
 
 # At most so many labelled documents (those with the smallest id hashes) are fetched to fit the few weights.
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCUMENTS) -> Mod
                 at += len(sizes)
 
     texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("doc_id", "text", F.col("good").cast("int").alias("good")).mapInArrow(run, "doc_id long, good int, own binary").limit(2 * most).toPandas()
+    rows = texts.select("doc_id", "text", F.col("good").cast("int").alias("good")).mapInArrow(lean(run), "doc_id long, good int, own binary").limit(2 * most).toPandas()
     rows = rows.sort_values(["doc_id", "own"], ignore_index=True)
     own = np.frombuffer(b"".join(rows["own"]), np.float32).reshape(-1, len(FEATURES))
     sizes = rows["own"].map(len).to_numpy(np.int64) // (4 * len(FEATURES))
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*found, np.zeros(0)]))], [*batch.schema.names, "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)
-    return held.mapInArrow(run, f"{kinds}, score double")
+    return held.mapInArrow(lean(run), f"{kinds}, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.bytes import mix
+from cohortry.llm.bytes import lean, mix
 
 # 2 MB for each task, whatever the input; with very many keys it lets everything through, and results stay the same.
 BITS = 24
@@ -31,7 +31,7 @@ def sieve(keys: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array(values.view(np.int64))], ["place", "bits"])
 
     name = keys.columns[0]
-    found = keys.filter(f"`{name}` is not null").mapInArrow(words, "place int, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = keys.filter(f"`{name}` is not null").mapInArrow(lean(words), "place int, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros((1 << BITS) // 64, np.uint64)
     out[found["place"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out

@@ -49,7 +49,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, as their number and digest, and the digest of what they decode to."""
     rank_file = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.digests(bpe.encode(docs, rank_file, public_tokenizers.PATTERN, decoded=True))
+    return bpe.digests(bpe.encode(docs, rank_file, public_tokenizers.PATTERN, decoded=True, kept=False))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -1,8 +1,10 @@
 """The pipeline's rows against its stages by brute force, and each stage on odd and empty tables."""
 
 import base64
+import gc
 import hashlib
 import re
+import weakref
 import zlib
 
 import public_tokenizers
@@ -11,7 +13,8 @@ import tiktoken
 from test_documents import RANKS, SF, base_spans, brute_components, plain_words, texts_of
 
 import corpus_pipeline
-from cohortry.llm import decontaminate, pii, quality
+from cohortry.llm import bpe, decontaminate, pii, quality
+from cohortry.llm.bytes import lean
 
 COLUMNS = list(corpus_pipeline.COLUMNS)
 
@@ -99,3 +102,31 @@ def test_stages_are_the_named_ones():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality classifier", "n-gram Jaccard join", "benchmark decontamination", "PII", "byte-level BPE encoding and decoding"]
     assert zlib.crc32(b"1") % 4 in range(4)
+
+
+def test_tokens_leave_no_encoder_in_the_workers(spark, monkeypatch):
+    """Idle workers outnumber the cores, so that encoders kept between tasks would add up in an executor."""
+
+    def kept(*_):
+        raise AssertionError("an encoder that outlives its task")
+
+    docs = spark.createDataFrame([(1, "one two"), (2, None), (3, "")], "doc_id long, text string")
+    before = bpe.digests(bpe.encode(docs, bpe.read_ranks(RANKS), public_tokenizers.PATTERN, decoded=True)).collect()
+    monkeypatch.setattr(bpe, "_encoder", kept)
+    assert corpus_pipeline.byte_level_bpe(spark, docs, SF).collect() == before
+
+
+def test_lean_tasks_give_back_what_only_the_collector_frees():
+    class Held:
+        pass
+
+    seen = []
+
+    def run(batches):
+        held = Held()
+        held.itself = held
+        seen.append(weakref.ref(held))
+        gc.freeze()
+        yield from batches
+
+    assert list(lean(run)(iter([1, 2]))) == [1, 2] and seen[0]() is None

@@ -152,3 +152,16 @@ def test_hash_tree(spark, tmp_path):
         finally:
             spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         assert found["big"]["sha256"] == want and found["big"]["bytes"] == at and found["small"]["sha256"] == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_every_event_tells_its_own_keys(spark, tmp_path):
+    """Records of all event types count by the keys that they hold: null values are there, no record and an empty one are not."""
+    from cohortry.plans import checks_clean
+
+    props = {"error": '{"k": 1, "z": null}', "view": '{"z": 2}', "click": "{}", "purchase": None, "signup": '{"k": null, "other": {"never": 1}}'}
+    rows = [(i, kind, text) for i, (kind, text) in enumerate(props.items())]
+    events = spark.createDataFrame(rows, "event_id long, event_type string, props string")
+    none = {"ts": "timestamp_ntz", "user_id": "long", "value": "double"}
+    events.withColumns({c: F.lit(None).cast(t) for c, t in none.items()}).write.parquet(str(tmp_path / "events.parquet"))
+    found = {r["field"]: tuple(r)[1:] for r in checks_clean.scan_json_fields(spark, str(tmp_path)).collect()}
+    assert found == {"k": (2, 3, "warning"), "z": (2, 3, "warning"), "never": (0, 5, "error")}
